@@ -84,6 +84,14 @@ def worker_cache(name: str, make):
 _CACHE: dict = {}
 
 
+def latest(name: str, token: str, make):
+    """Like worker_cache, but a new token replaces the object of the last one."""
+    held = _CACHE.get(name)
+    if held is None or held[0] != token:
+        held = _CACHE[name] = (token, make())
+    return held[1]
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
