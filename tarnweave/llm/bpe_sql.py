@@ -189,14 +189,15 @@ def _each(docs: DataFrame, ranks: str, schema: str, make, group: int = 4096) ->
 
 
 def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """(doc_id, ids array<int>, decoded string): the decoded text is the ids' bytes put together again."""
+    """(doc_id, ids array<int>, n_tokens, decoded string): the decoded text is the ids' bytes put together again."""
+    import numpy as np
     import pyarrow as pa
 
     def make(rows):
-        ids = [[int(x) for x in r[0].split(b",")] if r[0] else [] for r in rows]
-        return {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([r[1].decode("utf-8", "replace") for r in rows], pa.string())}
+        ids = [np.array(r[0].split(b",") if r[0] else [], dtype="S8").astype(np.int32) for r in rows]
+        return {"ids": pa.array(ids, pa.list_(pa.int32())), "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "decoded": pa.array([r[1].decode("utf-8", "replace") for r in rows], pa.string())}
 
-    return _each(docs, ranks, "ids array<int>, decoded string", make)
+    return _each(docs, ranks, "ids array<int>, n_tokens long, decoded string", make)
 
 
 def digests(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
