@@ -11,9 +11,12 @@ from .substring_dedup import op10_substring_dedup
 from .token_counts import op4_token_counts
 from .token_records import op1_token_records
 from .toxicity import op9_toxicity
+from .warc_audit import ORACLE as WARC_SQL
+from .warc_audit import op2_merkle_audit
 
 QUERIES = {
     "op1_token_records": op1_token_records,
+    "op2_merkle_audit": op2_merkle_audit,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
@@ -23,4 +26,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_merkle_audit": WARC_SQL}
