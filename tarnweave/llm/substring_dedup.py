@@ -24,6 +24,7 @@ input are kept by ``remove_repeats`` and ignored by the query.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,10 +75,11 @@ def anchors(texts: list[bytes]):
     h = acc ^ (acc >> np.uint64(32))
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
-    least = _sliding(h, REACH + 1, np.minimum)
+    order = (h >> np.uint64(32)).astype(np.uint32)  # half a hash decides, which is four times as fast to compare
+    least = _sliding(order, REACH + 1, np.minimum)
     # A gram is chosen if it is the least of some window around it.
-    padded = np.concatenate([np.zeros(REACH, dtype=np.uint64), least, np.zeros(REACH, dtype=np.uint64)])
-    at = np.flatnonzero(_sliding(padded, REACH + 1, np.maximum) == h)
+    edge = np.zeros(REACH, dtype=np.uint32)
+    at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), REACH + 1, np.maximum) == order)
     ends = np.cumsum(sizes)
     doc = np.searchsorted(ends, at, side="right")
     ok = (at + GRAM <= ends[doc]) & (sizes[doc] >= SPAN)
@@ -85,7 +87,7 @@ def anchors(texts: list[bytes]):
     return doc, at - (ends - sizes)[doc], h[at]
 
 
-def _groups(batch, most: int = 2 << 20):
+def _groups(batch, most: int = 1 << 19):
     """Row ranges of a batch with at most so many bytes of text (or one row)."""
     sizes = [len(x) if x is not None else 0 for x in batch]
     lo = total = 0
@@ -250,7 +252,7 @@ def _surroundings(n_buckets: int):
                 owner = np.stack([ids[own], keys[own]], axis=1)
                 spot = np.stack([place, np.array(s)], axis=1).astype(np.int32)
                 shape = np.array([lead, [*map(len, ctx)]], dtype=np.uint8)
-                out.append((bucket, _ASK, np.array(x, dtype=np.uint64).tobytes(), owner.tobytes(), spot.tobytes(), shape.tobytes(), b"".join(ctx)))
+                out.append((bucket, _ASK, np.array(x, dtype=np.uint64).tobytes(), owner.tobytes(), spot.tobytes(), shape.tobytes(), zlib.compress(b"".join(ctx), 1)))
             yield _rows(out)
 
     return run
@@ -301,7 +303,7 @@ def _settle(batches):
             owner = np.frombuffer(o, np.int64).reshape(-1, 2).tolist()
             spot = np.frombuffer(sp, np.int32).reshape(-1, 2).tolist()
             lead, size = np.frombuffer(sh, np.uint8).reshape(2, -1).tolist()
-            at = 0
+            text, at = zlib.decompress(text), 0
             for x, (place, s), w, n in zip(hashes, spot, lead, size):
                 ctx = text[at : at + n]
                 at += n
@@ -375,11 +377,13 @@ def covered_intervals(spark: SparkSession, docs: DataFrame) -> DataFrame:
     packed = rows.mapInArrow(_anchor_batches(n), _PACKED).repartitionById(n, F.col("bucket"))
     shared = packed.mapInArrow(_answer, "doc_id long, text_key long, shared binary")
     shared = materialize(spark, shared.groupBy("doc_id", "text_key").agg(F.collect_list("shared").alias("shared")), "repeat-anchors")
+    del packed  # what still refers to a finished step keeps its shuffle files
     release_shuffles(spark)
     packed = rows.join(shared, ["doc_id", "text_key"]).mapInArrow(_surroundings(n), _PACKED).repartitionById(n, F.col("bucket"))
     spans = packed.mapInArrow(_settle, "doc_id long, text_key long, starts binary, ends binary")
     spans = spans.groupBy("doc_id", "text_key").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
     spans = materialize(spark, spans, "repeat-spans")
+    del packed, shared
     release_shuffles(spark)
     return spans
 
