@@ -324,6 +324,18 @@ def _settle(batches):
                         starts_.append(z)
                         ends_.append(z + n)
 
+    def worth_sorting(group):
+        """A window around the anchor reaches past it by half of REACH on one side, so two surroundings that
+        share a window agree on that much on the left or on the right."""
+        half = (REACH + 1) // 2
+        left, right = {}, {}
+        for w, c in group:
+            if w >= half:
+                left[c[w - half : w]] = left.get(c[w - half : w], 0) + 1
+            if len(c) >= w + GRAM + half:
+                right[c[w + GRAM : w + GRAM + half]] = right.get(c[w + GRAM : w + GRAM + half], 0) + 1
+        return {k: v for k, v in group.items() if left.get(k[1][max(0, k[0] - half) : k[0]], 0) > 1 or right.get(k[1][k[0] + GRAM : k[0] + GRAM + half], 0) > 1}
+
     def sort(groups):
         members = [[(v[0], c) for (_, c), v in g.items()] for g in groups]
         places = [list(g.values()) for g in groups]
@@ -337,7 +349,7 @@ def _settle(batches):
 
     part, size = [], 0
     for group in found.values():
-        if len(group) > 1:
+        if len(group) > 1 and (group := worth_sorting(group)):
             n = sum(len(c) for _, c in group)
             if part and size + n > SORT_BYTES:
                 sort(part)

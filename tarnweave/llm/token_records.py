@@ -29,7 +29,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import release_shuffles, scratch, table, text_bytes, tokenizer_path, worker_cache
+from .common import release_shuffles, scratch, table, text_bytes, tokenizer_path, worker_cache, write_once
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
@@ -194,7 +194,7 @@ def write_records(spark: SparkSession, docs: DataFrame, folder: str, vocabulary:
         if out is not None:
             store.move(own, part_name(path, n))
 
-    rows.mapInArrow(run, _INDEX).write.parquet(f"{folder}/index")
+    write_once(spark, rows.mapInArrow(run, _INDEX), f"{folder}/index")
     return spark.read.schema(_INDEX).parquet(f"{folder}/index")
 
 
