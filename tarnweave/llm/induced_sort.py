@@ -40,20 +40,23 @@ def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
         p = p[p >= 0]
         _deal(p[mask[p]], s, buckets)
 
-    for c in range(256):
+    def waves(buckets, c, mask):
+        """Everything in a bucket in order; runs of one byte add to their own bucket, wave after wave."""
         k = 0
-        while k < len(left[c]):  # runs of one byte add to their own bucket
-            push(left[c][k], large, left)
+        while k < len(buckets[c]):
+            wave = np.concatenate(buckets[c][k:])
+            buckets[c][k:] = [wave]
             k += 1
-        for part in start[c]:
-            push(part, large, left)
+            push(wave, mask, buckets)
+
+    for c in range(256):
+        waves(left, c, large)
+        if start[c]:
+            push(np.concatenate(start[c]), large, left)
     for c in range(255, -1, -1):
-        k = 0
-        while k < len(right[c]):
-            push(right[c][k], small, right)
-            k += 1
-        for part in reversed(left[c]):
-            push(part[::-1], small, right)
+        waves(right, c, small)
+        if left[c]:
+            push(np.concatenate(left[c])[::-1], small, right)
     out = []
     for c in range(256):
         out += left[c]
