@@ -2,6 +2,440 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import EngineConfig
+from .functions import html as H
+from .functions import language as L
+from .functions import text as T
+from .functions import url as U
+from .operators import answers as A
+from .operators import bm25 as B
+from .operators import chunking as C
+from .operators import documents as D
+from .operators import retrieval as R
+from .operators import vectors as V
+from .plans import search as S
+from .sources import crawl as W
+
+CONFIG = EngineConfig()
+FLAGSHIP = "bm25_top_docs"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "bm25_top_docs"
+TERMS = ("and", "der", "de", "of", "that", "une")
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as (seq, url, title, content); five documents share each second url, so that firsts matter."""
+    d = read(spark, sf_dir, "documents")
+    url = F.concat(F.lit("https://example.com/"), F.col("source"), F.lit("/"), F.when(F.col("doc_id") % 2 == 0, F.floor(F.col("doc_id") / 10)).otherwise(F.col("doc_id")).cast("string"))
+    return d.select(F.col("doc_id").alias("seq"), url.alias("url"), F.lit("").alias("title"), F.col("text").alias("content"))
+
+
+DOCS = "d AS (SELECT doc_id AS seq, 'https://example.com/' || source || '/' || (CASE WHEN doc_id % 2 = 0 THEN doc_id // 10 ELSE doc_id END)::VARCHAR AS url, text AS content FROM documents)"
+TOKENS = r"tok AS (SELECT doc_id AS id, list_transform(regexp_extract_all(text, '[a-zA-Z0-9À-ÿ]+(?:''[a-zA-ZÀ-ÿ]+)?'), lambda x: lower(x)) AS t FROM documents)"
+COUNTS = TOKENS + ", e AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM tok), c AS (SELECT id, dl, term, count(*) AS tf FROM e GROUP BY ALL)"
+FIT = COUNTS + """, s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
+f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM f, s),
+i AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r),
+w AS (SELECT id, c.term, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS weight FROM c JOIN i USING (term), s WHERE idf > 0)"""
+
+
+def ids(d: DataFrame) -> DataFrame:
+    return d.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+
+
+@query("WITH " + FIT + f" SELECT id AS doc_id, round(sum(weight), 6) AS score FROM w WHERE term IN {TERMS} GROUP BY id ORDER BY score DESC, doc_id LIMIT 10")
+def bm25_top_docs(spark, sf_dir):
+    """The flagship: the ten best documents for a fixed question."""
+    docs = ids(read(spark, sf_dir, "documents"))
+    counts, stats = B.term_counts(docs), B.corpus(docs)
+    w = B.weights(counts, B.idf(counts, stats, CONFIG.bm25_epsilon), stats, CONFIG)
+    hits = w.where(F.col("term").isin(*TERMS)).groupBy("id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    return hits.orderBy(F.desc("score"), "id").limit(10).select(F.col("id").alias("doc_id"), "score")
+
+
+@query("WITH " + FIT + ", k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(weight, 9) DESC, term) AS rank FROM w) SELECT id AS doc_id, term, rank, round(weight, 6) AS weight FROM k WHERE rank <= 256")
+def sparse_vectors(spark, sf_dir):
+    v = B.sparse_vectors(ids(read(spark, sf_dir, "documents")), CONFIG)
+    return v.select(F.col("id").alias("doc_id"), "term", F.col("rank").cast("long").alias("rank"), F.round("weight", 6).alias("weight"))
+
+
+@query("WITH " + FIT + " SELECT term, df, round(idf, 6) AS idf FROM i")
+def term_statistics(spark, sf_dir):
+    docs = ids(read(spark, sf_dir, "documents"))
+    return B.idf(B.term_counts(docs), B.corpus(docs), CONFIG.bm25_epsilon).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("WITH " + COUNTS + " SELECT (SELECT count(DISTINCT term) FROM c) AS vocabulary, round_even(avg(k), 1) AS avg_terms FROM (SELECT len(list_distinct(t)) AS k FROM tok)")
+def vocabulary_size(spark, sf_dir):
+    t = read(spark, sf_dir, "documents").select(F.array_distinct(T.tokens(F.coalesce("text", F.lit("")))).alias("t"))
+    words = t.select(F.explode("t").alias("w")).agg(F.count_distinct("w").alias("vocabulary"))
+    return words.join(F.broadcast(t.agg(F.bround(F.avg(F.size("t")), 1).alias("avg_terms"))), how="cross")
+
+
+@query("WITH " + COUNTS + " SELECT term, sum(tf)::BIGINT AS n FROM c GROUP BY term")
+def token_freq(spark, sf_dir):
+    t = read(spark, sf_dir, "documents").select(F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term"))
+    return t.groupBy("term").agg(F.count("*").alias("n"))
+
+
+_CLEAN = r"list_aggregate(list_filter(list_transform(string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> ''), 'string_agg', chr(10))"
+CLEANED = DOCS + f", k AS (SELECT seq, url, {_CLEAN} AS content FROM d), m AS (SELECT * FROM k WHERE length(content) >= 50), u AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS r FROM m)"
+
+
+@query("WITH " + CLEANED + " SELECT seq, url, content FROM u WHERE r = 1")
+def clean_documents(spark, sf_dir):
+    return D.clean_documents(documents(spark, sf_dir), CONFIG.min_content).select("seq", "url", "content")
+
+
+@query("WITH " + CLEANED + " SELECT count(*) AS html, 0::BIGINT AS pdf, sum(length(content))::BIGINT AS total_content_chars FROM u WHERE r = 1")
+def clean_stats(spark, sf_dir):
+    return D.crawl_stats(D.clean_documents(documents(spark, sf_dir), CONFIG.min_content).withColumn("type", F.lit("html")))
+
+
+_HASH = r"sha256(trim(regexp_replace(content, '\s+', ' ', 'g')))"
+
+
+@query("WITH " + DOCS + f" SELECT seq, {_HASH} AS hash FROM d")
+def content_hash(spark, sf_dir):
+    return documents(spark, sf_dir).select("seq", T.content_hash(F.col("content")).alias("hash"))
+
+
+DEDUP = DOCS + f""", a AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) > 1 AS again, trim(content) = '' AS blank, {_HASH} AS h FROM d),
+g AS (SELECT *, min(seq) FILTER (NOT again AND NOT blank) OVER (PARTITION BY h) AS first FROM a),
+o AS (SELECT seq, url, CASE WHEN again THEN 'duplicate_url' WHEN blank THEN 'empty' WHEN seq > first THEN 'duplicate_content' ELSE 'kept' END AS outcome FROM g)"""
+
+
+@query("WITH " + DEDUP + " SELECT * FROM o")
+def dedup_docs(spark, sf_dir):
+    return D.dedup_flags(documents(spark, sf_dir))
+
+
+@query("WITH " + DEDUP + " SELECT outcome, count(*) AS n FROM o GROUP BY outcome")
+def dedup_counters(spark, sf_dir):
+    return D.dedup_flags(documents(spark, sf_dir)).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two crawls of one site: the second lacks some documents, has new ones and changed ones."""
+    d = read(spark, sf_dir, "documents")
+    url = F.concat(F.lit("https://example.com/"), F.col("doc_id").cast("string")).alias("url")
+    old = d.where("doc_id % 7 <> 3").select(F.col("doc_id").alias("seq"), url, F.col("text").alias("content"))
+    text = F.when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    return old, d.where("doc_id % 11 <> 4").select(F.col("doc_id").alias("seq"), url, text.alias("content"))
+
+
+DIFF = r"""old AS (SELECT 'https://example.com/' || doc_id AS url, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM documents WHERE doc_id % 7 <> 3),
+cur AS (SELECT 'https://example.com/' || doc_id AS url, doc_id AS seq, sha256(trim(regexp_replace(CASE WHEN doc_id % 5 = 1 THEN text || ' changed' ELSE text END, '\s+', ' ', 'g'))) AS h FROM documents WHERE doc_id % 11 <> 4),
+df AS (SELECT coalesce(o.url, c.url) AS url, CASE WHEN o.url IS NULL THEN 'added' WHEN c.url IS NULL THEN 'removed' WHEN o.h <> c.h THEN 'updated' ELSE 'unchanged' END AS change FROM old o FULL JOIN cur c ON o.url = c.url)"""
+
+
+@query("WITH " + DIFF + " SELECT * FROM df")
+def crawl_diff(spark, sf_dir):
+    return D.snapshot_diff(*snapshots(spark, sf_dir))
+
+
+@query("WITH " + DIFF + """ SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'unchanged') AS unchanged,
+count(*) FILTER (change = 'updated') AS updated, count(*) FILTER (change <> 'unchanged') AS documents_changed, count(*) FILTER (change <> 'unchanged') > 0 AS has_changes FROM df""")
+def diff_summary(spark, sf_dir):
+    return D.diff_summary(D.snapshot_diff(*snapshots(spark, sf_dir)))
+
+
+@query("WITH " + DIFF + " SELECT seq, cur.url FROM cur JOIN df ON cur.url = df.url WHERE change IN ('added', 'updated')")
+def changed_docs(spark, sf_dir):
+    old, cur = snapshots(spark, sf_dir)
+    return D.to_process(cur, D.snapshot_diff(old, cur)).select("seq", "url")
+
+
+def slices(spark, sf_dir) -> DataFrame:
+    """Fixed slices of 400 characters as (seq, url, chunk_index, content)."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.concat(F.lit("https://example.com/"), F.col("doc_id").cast("string")).alias("url"), "text")
+    n = F.ceil(F.length("text") / 400).cast("int")
+    x = d.where("length(text) > 0").select("seq", "url", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_index"))
+    return x.select("seq", "url", "chunk_index", F.substr("text", F.col("chunk_index") * 400 + 1, F.lit(400)).alias("content"))
+
+
+SLICES = "sl AS (SELECT doc_id AS seq, 'https://example.com/' || doc_id AS url, k::INTEGER AS chunk_index, substr(text, k * 400 + 1, 400) AS content FROM (SELECT doc_id, text, unnest(range(ceil(length(text) / 400.0)::BIGINT)) AS k FROM documents WHERE length(text) > 0))"
+
+
+@query("WITH " + SLICES + ", i AS (SELECT *, substr(sha256(url || ':' || chunk_index || ':' || content), 1, 32) AS id FROM sl) SELECT seq, chunk_index, id AS chunk_id, substr(id, 1, 8) || '-' || substr(id, 9, 4) || '-' || substr(id, 13, 4) || '-' || substr(id, 17, 4) || '-' || substr(id, 21, 12) AS point_id FROM i")
+def chunk_ids(spark, sf_dir):
+    x = slices(spark, sf_dir).withColumn("chunk_id", T.chunk_id(F.col("url"), F.col("chunk_index"), F.col("content")))
+    return x.select("seq", "chunk_index", "chunk_id", T.point_id(F.col("chunk_id")).alias("point_id"))
+
+
+@query("WITH " + SLICES + " SELECT seq, chunk_index, coalesce(right(lag(content) OVER (PARTITION BY url ORDER BY chunk_index), 150), '') || content AS content FROM sl")
+def chunk_overlap(spark, sf_dir):
+    p = slices(spark, sf_dir).groupBy("seq").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))), lambda x: F.struct(x["content"].alias("content"), F.lit("recursive").alias("level"))).alias("p"))
+    return p.select("seq", F.posexplode(C.overlapped(F.col("p"), 150)).alias("chunk_index", "c")).select("seq", "chunk_index", "c.content")
+
+
+@query("WITH " + SLICES + " SELECT url AS source_url, chunk_index, count(*) OVER (PARTITION BY url) AS document_chunk_count FROM sl")
+def chunk_counts(spark, sf_dir):
+    return C.with_counts(slices(spark, sf_dir).select(F.col("url").alias("source_url"), "chunk_index"))
+
+
+@query("WITH " + DIFF + ", " + SLICES + " SELECT seq, sl.url AS source_url, chunk_index FROM sl JOIN df ON sl.url = df.url WHERE change = 'unchanged'")
+def reused_chunks(spark, sf_dir):
+    s = slices(spark, sf_dir).select("seq", F.col("url").alias("source_url"), "chunk_index")
+    return D.reusable(s, D.snapshot_diff(*snapshots(spark, sf_dir))).select("seq", "source_url", "chunk_index")
+
+
+@query()
+def chunk_recursive(spark, sf_dir):
+    return C.chunk_documents(documents(spark, sf_dir), CONFIG)
+
+
+@query()
+def chunk_hybrid(spark, sf_dir):
+    return C.chunk_documents(documents(spark, sf_dir), CONFIG, embed=S.hashed_embedding)
+
+
+@query("WITH " + SLICES + " SELECT count(*) AS total_chunks, round_even(avg(length(content)), 1) AS avg_chars, min(length(content))::INTEGER AS min_chars, max(length(content))::INTEGER AS max_chars, sum(length(content))::BIGINT AS total_chars FROM sl")
+def chunk_stats(spark, sf_dir):
+    return C.chunk_stats(slices(spark, sf_dir))
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(l) > 120 THEN NULL WHEN l LIKE '#%' THEN trim(regexp_replace(l, '^#+', '')) WHEN regexp_matches(l, '^(?:#{1,6}\s+.+|.+\s\|\s.+)$') AND n > 1 THEN l
+WHEN l = upper(l) AND l <> lower(l) AND len(regexp_split_to_array(l, '\s+')) <= 12 THEN l END AS section
+FROM (SELECT doc_id, f[1] AS l, len(f) AS n FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS f FROM documents))""")
+def section_detect(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.section(F.col("text")).alias("section"))
+
+
+def _words(col: str) -> str:
+    return rf"list_transform(regexp_extract_all({col}, '[\p{{L}}\p{{N}}_]+'), lambda x: lower(x))"
+
+
+def _among(words: list[str]) -> str:
+    return "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in words) + ")))"
+
+
+def _signals(table: str, key: str) -> str:
+    return f"sg AS (SELECT {key}, trim(text) AS t, length(text) - length(translate(text, 'áéíóúÁÉÍÓÚ', '')) AS ga, {_among(L.STRONG)} AS st, {_among(L.WEAK)} AS wk, {_among(L.ENGLISH)} AS en FROM (SELECT *, {_words('text')} AS w FROM {table}))"
+
+
+@query("WITH " + _signals("documents", "doc_id") + """ SELECT doc_id, CASE WHEN length(t) < 30 THEN 'mixed' WHEN (ga >= 2 OR st >= 1 OR wk >= 2) AND ga + 2 * (2 * st + wk) >= en + 1 THEN 'ga'
+WHEN ga + 2 * (2 * st + wk) > en THEN 'ga' WHEN en > ga THEN 'en' ELSE 'mixed' END AS language FROM sg""")
+def doc_language(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", L.detect(F.col("text")).alias("language"))
+
+
+@query("WITH " + _signals("conversations", "conv_id, turn") + " SELECT conv_id, turn, CASE WHEN t = '' THEN 'en' WHEN ga >= 1 OR st >= 1 OR wk >= 2 THEN 'ga' ELSE 'en' END AS language FROM sg")
+def query_language(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", L.of_query(F.col("text")).alias("language"))
+
+
+def _marks(marks: list[str]) -> str:
+    return " + ".join(f"(contains(lower(url), '{m}'))::INTEGER" for m in marks)
+
+
+@query(f"SELECT page_id, CASE WHEN g > e THEN 'ga' WHEN e > g THEN 'en' ELSE 'mixed' END AS language FROM (SELECT page_id, {_marks(L.GA_URLS)} AS g, {_marks(L.EN_URLS)} AS e FROM pages)")
+def url_language(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", L.of_url(F.col("url")).alias("language"))
+
+
+@query(rf"SELECT conv_id, turn, length(trim(text)) BETWEEN 1 AND 60 AND NOT regexp_matches(text, '(?i)\b(?:{'|'.join(CONFIG.topic_words)})\b') AND regexp_matches(trim(text), '{L.GREETING.replace(chr(39), chr(39) * 2)}') AS conversational FROM conversations")
+def conversational_turns(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", L.is_conversational(F.col("text"), CONFIG.topic_words).alias("conversational"))
+
+
+@query(r"""WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)', 1)) AS path, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)', 1)), '^www\.', '') AS host FROM pages)
+SELECT page_id, path LIKE '%.pdf' AS is_pdf, NOT path LIKE '%.pdf' AND (path = '' OR path LIKE '%/' OR NOT regexp_matches(path, '\.(?:css|doc|docx|gif|jpeg|jpg|js|mp3|png|wav|wma|zip)$')) AS is_page,
+host IN ('example.com', 'example.org', 'example.net') OR host LIKE '%.example.com' OR host LIKE '%.example.org' OR host LIKE '%.example.net' AS is_allowed, regexp_matches(lower(url), '/(?:web|script)resource\.axd') AS is_junk FROM p""")
+def url_flags(spark, sf_dir):
+    u = F.col("url")
+    return read(spark, sf_dir, "pages").select("page_id", U.is_pdf(u).alias("is_pdf"), U.is_page(u).alias("is_page"), U.is_allowed(u, CONFIG.allowed_domains).alias("is_allowed"), U.is_junk(u).alias("is_junk"))
+
+
+@query(r"SELECT page_id, lower(regexp_extract(url, '^(https?)://', 1, 'i')) || '://' || regexp_extract(url, '^https?://([^/?#;]*)', 1, 'i') || coalesce(nullif(regexp_extract(url, '^https?://[^/?#;]*([^?#;]*)', 1, 'i'), ''), '/') || regexp_extract(url, '^https?://[^?#]*(\?[^#]*)', 1, 'i') AS normalized FROM pages")
+def url_normalize(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", U.normalize_absolute(F.col("url")).alias("normalized"))
+
+
+_UNESCAPE = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, trim({_UNESCAPE.format(chr(39).join(['regexp_extract(html, ', '(?is)<title[^>]*>(.*?)</title>', ', 1)']))}) AS title FROM pages")
+def html_title(spark, sf_dir):
+    return H.documents_from_pages(read(spark, sf_dir, "pages"), EngineConfig(min_content=0)).select("page_id", "title")
+
+
+@query(rf"""WITH a AS (SELECT page_id, regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1) AS h FROM pages),
+b AS (SELECT page_id, string_split(regexp_replace(regexp_replace(h, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '<[^>]*>', chr(1), 'g'), chr(1)) AS l FROM a),
+c AS (SELECT page_id, list_aggregate(list_filter(list_transform(l, lambda x: regexp_replace({_UNESCAPE.format('x')}, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), 'string_agg', chr(10)) AS content FROM b)
+SELECT page_id, content FROM c WHERE length(content) >= 50""")
+def html_text(spark, sf_dir):
+    return H.documents_from_pages(read(spark, sf_dir, "pages"), CONFIG).select("page_id", "content")
+
+
+@query()
+def html_links(spark, sf_dir):
+    return H.page_links(read(spark, sf_dir, "pages"))
+
+
+EDGES = "ed AS (SELECT DISTINCT page_id AS src, (page_id * 7 + k * 13) % (SELECT count(*) FROM pages) AS dst FROM pages, range(1, 3) t(k) WHERE page_id % 3 <> 0)"
+
+
+@query("WITH RECURSIVE " + EDGES + ", r(page, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM r JOIN ed ON src = page WHERE depth < 6) SELECT page, min(depth)::INTEGER AS depth FROM r GROUP BY page")
+def link_reachability(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    n = pages.agg(F.count("*").alias("n"))
+    e = pages.where("page_id % 3 <> 0").join(F.broadcast(n), how="cross")
+    e = e.select(F.col("page_id").alias("src"), F.explode(F.array(*[(F.col("page_id") * 7 + k * 13) % F.col("n") for k in (1, 2)])).alias("dst")).distinct()
+    seeds = spark.range(1, 2).select(F.col("id").alias("page"))
+    return W.reachable(spark, e, seeds, max_depth=6)
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 20 = 0), v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS b FROM embeddings),
+s AS (SELECT query_id, id, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) AS score FROM q, v),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM k WHERE rank <= 10""")
+def dense_knn(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    hits = V.nearest(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 10)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+FUSED = "WITH " + FIT + """, q AS (SELECT item_id AS query_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9À-ÿ]+(?:''[a-zA-ZÀ-ÿ]+)?'), lambda x: lower(x)))) AS term FROM benchmark WHERE item_id < 20),
+sp AS (SELECT query_id, id, round(sum(weight), 6) AS score FROM q JOIN w USING (term) GROUP BY ALL),
+sk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sp),
+dn AS (SELECT i.item_id AS query_id, d.doc_id AS id, -abs(d.n_chars - length(i.text))::DOUBLE AS score FROM (SELECT * FROM benchmark WHERE item_id < 20) i JOIN documents d ON d.doc_id % 20 = i.item_id),
+dk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dn),
+un AS (SELECT query_id, id, rank FROM sk WHERE rank <= 20 UNION ALL SELECT query_id, id, rank FROM dk WHERE rank <= 20),
+fu AS (SELECT query_id, id, round(sum(1.0 / (2 + rank - 1)), 6) AS score FROM un GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fu)"""
+
+
+def fused_hits(spark, sf_dir) -> DataFrame:
+    """Twenty questions: a sparse list and one by length fused."""
+    docs = ids(read(spark, sf_dir, "documents"))
+    q = read(spark, sf_dir, "benchmark").where("item_id < 20")
+    counts, stats = B.term_counts(docs), B.corpus(docs)
+    w = B.weights(counts, B.idf(counts, stats, CONFIG.bm25_epsilon), stats, CONFIG)
+    terms = q.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"), F.lit(1.0).alias("weight"))
+    sparse = R.top(B.score(terms, w).withColumn("score", F.round("score", 6)), CONFIG.prefetch)
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 20).alias("query_id"), "n_chars")
+    near = d.join(q.select(F.col("item_id").alias("query_id"), F.length("text").alias("n")), "query_id")
+    dense = R.top(near.select("query_id", "id", (-F.abs(F.col("n_chars") - F.col("n"))).cast("double").alias("score")), CONFIG.prefetch)
+    return R.fuse([sparse, dense], CONFIG.candidates, CONFIG.rrf_k).withColumn("score", F.round("score", 6))
+
+
+@query(FUSED + " SELECT query_id, id, score, rank FROM rk WHERE rank <= 20")
+def hybrid_rrf(spark, sf_dir):
+    return fused_hits(spark, sf_dir).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(FUSED + ", bs AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM rk WHERE rank <= 20) SELECT query_id, id, score, rank FROM bs WHERE score >= 0.3 OR (rank = 1 AND best < 0.3)")
+def rerank_filter(spark, sf_dir):
+    return R.keep_scores(fused_hits(spark, sf_dir), 0.3).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def ranked_docs(spark, sf_dir) -> DataFrame:
+    """Eight documents for each of many questions, as ranked hits."""
+    d = read(spark, sf_dir, "documents")
+    title = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("Doc "), F.col("doc_id").cast("string")))
+    return d.select(
+        F.floor(F.col("doc_id") / 8).alias("query_id"), (F.col("doc_id") % 8 + 1).alias("rank"), title.alias("title"),
+        F.concat(F.lit("https://example.com/"), F.col("source")).alias("source_url"), F.col("text").alias("content"),
+    )
+
+
+@query(r"""WITH h AS (SELECT doc_id // 8 AS query_id, doc_id % 8 + 1 AS rank, '[' || (doc_id % 8 + 1) || '] ' || (CASE WHEN doc_id % 3 = 0 THEN 'Untitled' ELSE 'Doc ' || doc_id END) || ' (https://example.com/' || source || ')' AS head, trim(text, ' ' || chr(10)) AS body FROM documents),
+b AS (SELECT *, head || chr(10) || body AS block, length(head) + 1 + length(body) AS n FROM h),
+u AS (SELECT *, coalesce(sum(n + 2) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used FROM b)
+SELECT query_id, string_agg(CASE WHEN used + n <= 6000 THEN block ELSE head || chr(10) || substr(body, 1, 6000 - used - length(head) - 1) END, chr(10) || chr(10) ORDER BY rank) AS context
+FROM u WHERE used < 6000 AND (used + n <= 6000 OR 6000 - used > length(head) + 10) GROUP BY query_id""")
+def context_pack(spark, sf_dir):
+    return R.pack_context(ranked_docs(spark, sf_dir), CONFIG.context_chars)
+
+
+@query(DIFF.join(["WITH ", ", "]) + "i AS (SELECT url, h FROM old), m AS (SELECT * FROM i WHERE url NOT IN (SELECT url FROM cur) UNION ALL SELECT url, h FROM cur) SELECT url, h AS hash FROM m")
+def upsert_merge(spark, sf_dir):
+    old, cur = (D.hash_index(x) for x in snapshots(spark, sf_dir))
+    return R.upsert(old, cur, "url")
+
+
+@query("WITH " + DIFF + " SELECT url, h AS hash FROM old WHERE url IN (SELECT url FROM cur)")
+def stale_delete(spark, sf_dir):
+    old, cur = (D.hash_index(x) for x in snapshots(spark, sf_dir))
+    return R.drop_stale(old, cur, "url")
+
+
+@query("WITH " + DIFF + " SELECT CASE change WHEN 'added' THEN 'missing' WHEN 'removed' THEN 'unexpected' WHEN 'updated' THEN 'different' ELSE 'equal' END AS kind, count(*) AS n FROM df GROUP BY 1")
+def index_validate(spark, sf_dir):
+    old, cur = (D.hash_index(x).select(F.col("url").alias("chunk_id"), F.col("hash").alias("content"), F.col("url").alias("source_url")) for x in snapshots(spark, sf_dir))
+    return R.validate_index(cur, old)
+
+
+def answers(spark, sf_dir) -> DataFrame:
+    """Answers with a sources section made of pages; some lack one, repeat a link or cite an unknown page."""
+    p = read(spark, sf_dir, "pages").select("page_id", "url")
+    a = F.col("page_id")
+    link = F.concat(F.lit("- [Page "), a.cast("string"), F.lit("]("), F.col("url"), F.lit(")\n"))
+    text = F.concat(
+        F.when(a % 4 == 1, "").otherwise("## Answer\n"), F.lit("See [1] and [2] or [9].\n\n## Sources\n"), F.when(a % 5 == 2, "").otherwise(F.concat(link, F.upper(link))),
+        F.when(a % 6 == 3, "- [Else](https://example.com/else).\n").otherwise(""),
+    )
+    return p.select(a.alias("answer_id"), text.alias("text"), F.array("url").alias("urls"))
+
+
+ANSWERS = """an AS (SELECT page_id AS answer_id, url, page_id % 4 <> 1 AS has_answer, page_id % 5 <> 2 AS has_link, page_id % 6 = 3 AS has_else FROM pages)"""
+
+
+@query("WITH " + ANSWERS + " SELECT answer_id, 0 AS n, 'Page ' || answer_id AS title, rtrim(url, '.,;') AS url FROM an WHERE has_link UNION ALL SELECT answer_id, has_link::INTEGER, 'Else', 'https://example.com/else' FROM an WHERE has_else")
+def citations(spark, sf_dir):
+    x = answers(spark, sf_dir).select("answer_id", F.posexplode(A.citations(F.col("text"))).alias("n", "c"))
+    return x.select("answer_id", "n", "c.title", "c.url")
+
+
+@query("WITH " + ANSWERS + " SELECT answer_id, has_answer AND has_link AND NOT has_else AND rtrim(url, '.,;') = url AS passed, list_filter([CASE WHEN NOT has_answer THEN 'no answer section' END, CASE WHEN NOT has_link AND NOT has_else THEN 'no citations' END, CASE WHEN has_link AND rtrim(url, '.,;') <> url THEN 'unknown url: ' || rtrim(url, '.,;') END, CASE WHEN has_else THEN 'unknown url: https://example.com/else' END], lambda x: x IS NOT NULL) AS errors FROM an")
+def citation_check(spark, sf_dir):
+    a = answers(spark, sf_dir)
+    return A.check_citations(a.select("answer_id", "text"), a.select("answer_id", "urls"))
+
+
+@query()
+def format_answer(spark, sf_dir):
+    return answers(spark, sf_dir).select("answer_id", A.format_answer(F.col("text"), F.lit("en")).alias("display"))
+
+
+@query("SELECT conv_id, count(*) + 1 AS n, 'system,' || string_agg(role, ',' ORDER BY turn, role, text) AS roles, 'Answer from the sources.' || chr(10) || string_agg(text, chr(10) ORDER BY turn, role, text) AS transcript FROM conversations GROUP BY conv_id")
+def chat_messages(spark, sf_dir):
+    return A.messages(read(spark, sf_dir, "conversations"), "Answer from the sources.")
+
+
+@query("SELECT conv_id AS message_id, string_agg(text, '' ORDER BY turn, text) FILTER (turn > coalesce(z, -1)) AS text FROM (SELECT *, max(turn) FILTER (role = 'system') OVER (PARTITION BY conv_id) AS z FROM conversations) GROUP BY conv_id HAVING count(*) FILTER (turn > coalesce(z, -1)) > 0")
+def event_fold(spark, sf_dir):
+    e = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("message_id"), F.col("turn").alias("seq"), F.when(F.col("role") == "system", "reset").otherwise("content").alias("kind"), "text")
+    return A.fold_events(e).where("text <> ''")
+
+
+@query("SELECT page_id, unnest(list_transform(regexp_extract_all(xml, '(?is)<loc>\\s*(.*?)\\s*</loc>', 1), lambda x: x)) AS loc FROM (SELECT page_id, '<urlset><url><loc> ' || url || ' </loc></url><url><LOC>https://example.com/' || page_id || '</LOC></url></urlset>' AS xml FROM pages)")
+def sitemap_locs(spark, sf_dir):
+    u = F.concat(F.lit("<urlset><url><loc> "), F.col("url"), F.lit(" </loc></url><url><LOC>https://example.com/"), F.col("page_id").cast("string"), F.lit("</LOC></url></urlset>"))
+    return read(spark, sf_dir, "pages").select("page_id", F.explode(W.sitemap_locs(u)).alias("loc"))
+
+
+@query()
+def search_contexts(spark, sf_dir):
+    """The whole search plan over chunked documents: language, hybrid retrieval, fusion, filter, context."""
+    q = read(spark, sf_dir, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), "text")
+    return S.search(q, C.chunk_documents(documents(spark, sf_dir), CONFIG), CONFIG)
