@@ -29,7 +29,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release_shuffles, table, text_bytes
+from .common import materialize, table, text_bytes
 
 SPAN, GRAM = 50, 25
 REACH = SPAN - GRAM  # bytes on either side of an anchor that a window may hold
@@ -126,6 +126,56 @@ def _by_owner(ids, keys, *values):
         yield int(ids[lo]), int(keys[lo]), *[v[lo:hi].tobytes() for v in values]
 
 
+def _to_owners(ids, keys, n_buckets: int, *values):
+    """Parallel arrays as one packed row for each bucket of documents: owners, how many values each has, the values."""
+    import numpy as np
+
+    bucket = (keys.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
+    order = np.lexsort((keys, ids, bucket))
+    ids, keys, bucket, values = ids[order], keys[order], bucket[order], [v[order] for v in values]
+    new = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))) if len(ids) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(new, len(ids))).astype(np.int32)
+    starts = _runs(bucket)
+    for lo, hi in zip(starts, [*starts[1:], len(ids)]):
+        a, z = np.searchsorted(new, (lo, hi))
+        owner = np.stack([ids[new[a:z]], keys[new[a:z]]], axis=1)
+        yield (int(bucket[lo]), _DONE, owner.tobytes(), counts[a:z].tobytes(), *[v[lo:hi].tobytes() for v in values], *[b""] * (3 - len(values)))
+
+
+def _owned(a: bytes, b: bytes):
+    """The ids and keys of a packed row, repeated for each value."""
+    import numpy as np
+
+    owner, counts = np.frombuffer(a, np.int64).reshape(-1, 2), np.frombuffer(b, np.int32)
+    return np.repeat(owner[:, 0], counts), np.repeat(owner[:, 1], counts)
+
+
+def _one_row_each(schema_names: list[str], kinds: list):
+    """Packed rows of one bucket of documents to one row for each document."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, keys, values = [], [], [[] for _ in kinds]
+        for batch in batches:
+            for a, b, *v in zip(*(batch.column(i).to_pylist() for i in range(2, 4 + len(kinds)))):
+                i, k = _owned(a, b)
+                ids.append(i)
+                keys.append(k)
+                for held, x, kind in zip(values, v, kinds):
+                    held.append(np.frombuffer(x, kind))
+        if not ids:
+            return
+        out = list(_by_owner(np.concatenate(ids), np.concatenate(keys), *map(np.concatenate, values)))
+        for lo in range(0, len(out), 2000):
+            cols = list(zip(*out[lo : lo + 2000]))
+            types = [pa.int64(), pa.int64(), *[pa.binary()] * len(kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "text_key", *schema_names])
+
+    return run
+
+
 def _anchor_batches(n_buckets: int):
     """Documents to packed (hash, document) entries for each bucket; what a batch itself shows to be shared is done."""
 
@@ -151,7 +201,7 @@ def _anchor_batches(n_buckets: int):
             first = np.repeat(starts, sizes)
             last = np.repeat(starts + sizes - 1, sizes)
             shared = ids[d[first]] != ids[d[last]]
-            out = [(x % n_buckets, _DONE, np.array([x, k]).tobytes(), v, b"", b"", b"") for x, k, v in _by_owner(ids[d[shared]], keys[d[shared]], h[shared])]
+            out = list(_to_owners(ids[d[shared]], keys[d[shared]], n_buckets, h[shared]))
             ask = np.zeros(len(h), dtype=bool)
             ask[starts] = True  # one entry speaks for a shared anchor,
             same_id = ~shared  # rows of one id speak each for themselves
@@ -169,37 +219,38 @@ def _anchor_batches(n_buckets: int):
     return run
 
 
-def _answer(batches):
-    """Which entries of a bucket have a hash that other documents have too."""
-    import numpy as np
-    import pyarrow as pa
+def _answer(n_buckets: int):
+    """Which entries of a bucket have a hash that other documents have too, packed by document."""
 
-    hashes, ids, keys, done = [], [], [], []
-    for b in batches:
-        for kind, a, p, c, d in zip(*(b.column(i).to_pylist() for i in range(1, 6))):
-            if kind == _DONE:
-                owner = np.frombuffer(a, np.int64)
-                done.append((int(owner[0]), int(owner[1]), p))
-                continue
-            place = np.frombuffer(p, np.uint16)
-            hashes.append(np.frombuffer(a, np.uint64))
-            ids.append(np.frombuffer(c, np.int64)[place])
-            keys.append(np.frombuffer(d, np.int64)[place])
-    if hashes:
-        h, i, k = np.concatenate(hashes), np.concatenate(ids), np.concatenate(keys)
-        del hashes, ids, keys
-        order = np.lexsort((i, h))
-        h, i, k = h[order], i[order], k[order]
-        starts = _runs(h)
-        sizes = np.diff(np.append(starts, len(h)))
-        shared = np.repeat(i[starts] != i[starts + sizes - 1], sizes)
-        done += _by_owner(i[shared], k[shared], h[shared])
-    for lo in range(0, len(done), 5000):
-        part = done[lo : lo + 5000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.binary())],
-            names=["doc_id", "text_key", "shared"],
-        )
+    def run(batches):
+        import numpy as np
+
+        hashes, ids, keys, known = [], [], [], [[], [], []]
+        for batch in batches:
+            for kind, a, b, c, d in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
+                if kind == _DONE:
+                    for held, x in zip(known, (*_owned(a, b), np.frombuffer(c, np.uint64))):
+                        held.append(x)
+                    continue
+                place = np.frombuffer(b, np.uint16)
+                hashes.append(np.frombuffer(a, np.uint64))
+                ids.append(np.frombuffer(c, np.int64)[place])
+                keys.append(np.frombuffer(d, np.int64)[place])
+        if hashes:
+            h, i, k = np.concatenate(hashes), np.concatenate(ids), np.concatenate(keys)
+            del hashes, ids, keys
+            order = np.lexsort((i, h))
+            h, i, k = h[order], i[order], k[order]
+            starts = _runs(h)
+            sizes = np.diff(np.append(starts, len(h)))
+            shared = np.repeat(i[starts] != i[starts + sizes - 1], sizes)
+            for held, x in zip(known, (i[shared], k[shared], h[shared])):
+                held.append(x)
+        if known[0]:
+            i, k, h = map(np.concatenate, known)
+            yield _rows(list(_to_owners(i, k, n_buckets, h)))
+
+    return run
 
 
 def _surroundings(n_buckets: int):
@@ -212,7 +263,7 @@ def _surroundings(n_buckets: int):
         for b in batches:
             ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
             texts = [bytes(x) for x in b.column(2).to_pylist()]
-            known = [np.unique(np.frombuffer(b"".join(x), np.uint64)) for x in b.column(3).to_pylist()]
+            known = [np.unique(np.frombuffer(x, np.uint64)) for x in b.column(3).to_pylist()]
             best: dict[tuple, tuple] = {}
             covered, sent = [], []
             for lo, hi in _groups(texts):
@@ -242,7 +293,7 @@ def _surroundings(n_buckets: int):
             out = []
             if covered:
                 n, s, e = (np.array(x) for x in zip(*covered))
-                out += [(k % n_buckets, _DONE, np.array([x, k]).tobytes(), a, z, b"", b"") for x, k, a, z in _by_owner(ids[n], keys[n], s.astype(np.int32), e.astype(np.int32))]
+                out += _to_owners(ids[n], keys[n], n_buckets, s.astype(np.int32), e.astype(np.int32))
             buckets: dict[int, list] = {}
             for (x, lead, ctx), (_, places) in best.items():
                 buckets.setdefault(x % n_buckets, []).extend((x, n, s, lead, ctx) for n, s in places)
@@ -286,18 +337,21 @@ def _covered_windows(groups: list[list[tuple[int, bytes]]]):
     return [(flat[o][0], flat[o][1], int(p - begin[o])) for p, o in zip(at.tolist(), owner[at].tolist())]
 
 
-def _settle(batches):
-    """Covered intervals of one shard's surroundings, as (doc_id, text_key, starts, ends)."""
+def _settle(n_buckets: int):
+    """Covered intervals of one shard's surroundings, packed by document."""
+    return lambda batches: _settled(batches, n_buckets)
+
+
+def _settled(batches, n_buckets: int):
     import numpy as np
-    import pyarrow as pa
 
     found: dict[int, dict[tuple, list]] = {}
-    ids_, keys_, starts_, ends_, done = [], [], [], [], []
+    ids_, keys_, starts_, ends_, done = [], [], [], [], [[], [], [], []]
     for b in batches:
         for kind, a, o, sp, sh, text in zip(*(b.column(i).to_pylist() for i in range(1, 7))):
             if kind == _DONE:
-                owner = np.frombuffer(a, np.int64)
-                done.append((int(owner[0]), int(owner[1]), o, sp))
+                for held, v in zip(done, (*_owned(a, o), np.frombuffer(sp, np.int32), np.frombuffer(sh, np.int32))):
+                    held.append(v)
                 continue
             hashes = np.frombuffer(a, np.uint64).tolist()
             owner = np.frombuffer(o, np.int64).reshape(-1, 2).tolist()
@@ -359,21 +413,20 @@ def _settle(batches):
     if part:
         sort(part)
     if ids_:
-        i, k = np.array(ids_, dtype=np.int64), np.array(keys_, dtype=np.int64)
-        done += _by_owner(i, k, np.array(starts_, dtype=np.int32), np.array(ends_, dtype=np.int32))
-    for lo in range(0, len(done), 5000):
-        cols = list(zip(*done[lo : lo + 5000]))
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "text_key", "starts", "ends"])
+        for held, v, kind in zip(done, (ids_, keys_, starts_, ends_), (np.int64, np.int64, np.int32, np.int32)):
+            held.append(np.array(v, dtype=kind))
+    if done[0]:
+        i, k, a, z = map(np.concatenate, done)
+        yield _rows(list(_to_owners(i, k, n_buckets, a, z)))
 
 
-def merged(starts: list[bytes], ends: list[bytes]) -> list[tuple[int, int]]:
+def merged(starts: bytes | None, ends: bytes | None) -> list[tuple[int, int]]:
     """Maximal covered runs."""
     import numpy as np
 
     if not starts:
         return []
-    a, z = np.frombuffer(b"".join(starts), np.int32), np.frombuffer(b"".join(ends), np.int32)
+    a, z = np.frombuffer(starts, np.int32), np.frombuffer(ends, np.int32)
     order = np.argsort(a, kind="stable")
     a, z = a[order], np.maximum.accumulate(z[order])
     new = np.append(True, a[1:] > z[:-1])
@@ -382,22 +435,18 @@ def merged(starts: list[bytes], ends: list[bytes]) -> list[tuple[int, int]]:
 
 
 def covered_intervals(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, starts array<binary>, ends array<binary>) of every document with covered bytes."""
+    """(doc_id, text_key, starts, ends), packed 32-bit places, of every document with covered bytes."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.where("doc_id is not null and octet_length(text) >= %d" % SPAN)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text_bytes().alias("t"))
     packed = rows.mapInArrow(_anchor_batches(n), _PACKED).repartitionById(n, F.col("bucket"))
-    shared = packed.mapInArrow(_answer, "doc_id long, text_key long, shared binary")
-    shared = materialize(spark, shared.groupBy("doc_id", "text_key").agg(F.collect_list("shared").alias("shared")), "repeat-anchors")
-    del packed  # what still refers to a finished step keeps its shuffle files
-    release_shuffles(spark)
+    owners = packed.mapInArrow(_answer(n), _PACKED).repartitionById(n, F.col("bucket"))
+    shared = owners.mapInArrow(_one_row_each(["shared"], ["u8"]), "doc_id long, text_key long, shared binary")
+    shared = materialize(spark, shared, "repeat-anchors")
     packed = rows.join(shared, ["doc_id", "text_key"]).mapInArrow(_surroundings(n), _PACKED).repartitionById(n, F.col("bucket"))
-    spans = packed.mapInArrow(_settle, "doc_id long, text_key long, starts binary, ends binary")
-    spans = spans.groupBy("doc_id", "text_key").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    spans = materialize(spark, spans, "repeat-spans")
-    del packed, shared
-    release_shuffles(spark)
-    return spans
+    owners = packed.mapInArrow(_settle(n), _PACKED).repartitionById(n, F.col("bucket"))
+    spans = owners.mapInArrow(_one_row_each(["starts", "ends"], ["i4", "i4"]), "doc_id long, text_key long, starts binary, ends binary")
+    return materialize(spark, spans, "repeat-spans")
 
 
 def _with_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -420,7 +469,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
             texts = []
             raw, starts, ends = (b.column(len(names) + i).to_pylist() for i in range(3))
             for t, s, e in zip(raw, starts, ends):
-                texts.append(None if t is None else kept_bytes(bytes(t), merged(s or [], e or [])).decode("utf-8", "ignore"))
+                texts.append(None if t is None else kept_bytes(bytes(t), merged(s, e)).decode("utf-8", "ignore"))
             cols = list(b.columns[: len(names)])
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
@@ -447,7 +496,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         for b in batches:
             n, gone, runs_, sha = [], [], [], []
             for t, s, e in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-                t, runs = bytes(t), merged(s or [], e or [])
+                t, runs = bytes(t), merged(s, e)
                 n.append(len(t))
                 gone.append(sum(z - a for a, z in runs))
                 runs_.append(len(runs))
