@@ -25,10 +25,12 @@ import json
 import re
 import struct
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_alphabet
 from .common import release_shuffles, scratch, table, text_bytes, tokenizer_path, worker_cache, write_once
 
 VOCABULARY = "word_bpe_49k.json"
@@ -44,12 +46,11 @@ _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-
 class ChunkEncoder:
     """Token ids of whole texts; texts are cut at spaces, which this vocabulary's split drops anyway.
 
-    New chunks of common characters are split into words, and new words go to the library in one line;
-    its word ends tell them apart.  Other chunks go to the library as they are.
+    New chunks of common characters are split into words, and new words go to the library's merge model.
+    Other chunks go through the whole library as they are.
     """
 
     def __init__(self, path: str, limit: int = 600_000):
-        import numpy as np
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -60,14 +61,13 @@ class ChunkEncoder:
         self.limit = limit
         vocabulary = self.tok.get_vocab()
         self.wide = max(vocabulary.values()) > 0xFFFF
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.spelling = {b: c for c, b in byte_alphabet().items()}
         self.plain = json.loads(self.tok.to_str())["model"].get("end_of_word_suffix") == "</w>"
 
     def learn(self, new: list[str]) -> None:
         import numpy as np
 
-        kind = np.dtype("<u4" if self.wide else "<u2")
+        kind, code = ("<u4", "I") if self.wide else ("<u2", "H")
         split, other, asks = [], [], set()
         words, known = self.words, self.known
         for c in new:
@@ -77,17 +77,11 @@ class ChunkEncoder:
                 asks.update(w)
             else:
                 other.append(c)
-        ask = [w for w in asks if w not in words]
-        for at in range(0, len(ask), 4_000):
-            part = ask[at : at + 4_000]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.int64)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
-                raise ValueError("the vocabulary splits words in an unforeseen way")
-            raw, start, width = ids.astype(kind).tobytes(), 0, kind.itemsize
-            for w, cut in zip(part, (cuts * width).tolist()):
-                words[w] = raw[start:cut]
-                start = cut
+        tokenize, spelling = self.tok.model.tokenize, self.spelling
+        for w in asks:
+            if w not in words:
+                spelt = w if w.isascii() else w.encode().decode("latin-1").translate(spelling)
+                words[w] = array(code, [t.id for t in tokenize(spelt)]).tobytes()
         for c, w in split:
             known[c] = words[w[0]] if len(w) == 1 else b"".join([words[x] for x in w])
         for at in range(0, len(other), 20_000):
