@@ -48,7 +48,7 @@ class PrefixCounter:
             self.rank[raw(a), raw(b)] = n
         self.longest = max(map(len, self.vocab))
         self.split = splitter()
-        self.states: dict[bytes, tuple[list, list]] = {}
+        self.prefixes: dict[bytes, tuple[bytes, int]] = {}
         self.stays = Memo(self._stays, 500_000)
         self.alone = Memo(lambda t: self._merged(t) == [t], 200_000)
         self.pieces = Memo(self._piece, 250_000)
@@ -72,23 +72,35 @@ class PrefixCounter:
     def _piece(self, piece: str) -> tuple[int, ...]:
         """Token counts after each code point of one piece."""
         raw = piece.encode()
-        n, states = len(raw), self.states
-        last, count = [b""], [0]
-        for k in range(n - 1, max(0, n - 7), -1):  # go on from a known beginning
-            if got := states.get(raw[:k]):
-                last, count = [*got[0]], [*got[1]]
-                break
-        vocab, stays, alone, longest = self.vocab, self.stays, self.alone, self.longest
-        for i in range(len(last), n + 1):
-            for a in range(i - longest if i > longest else 0, i):
-                if (t := raw[a:i]) in vocab and (stays[last[a], t] if a else alone[t]):
-                    last.append(t)
-                    count.append(count[a] + 1)
-                    break
-        if n <= 24:
-            if len(states) >= 200_000:
-                states.clear()
-            states[raw] = last, count
+        n, vocab, stays, alone, longest = len(raw), self.vocab, self.stays, self.alone, self.longest
+        if n <= 32:
+            known = self.prefixes  # many words begin alike
+            if len(known) >= 600_000:
+                known.clear()
+            k = n
+            while k and raw[:k] not in known:
+                k -= 1
+            for i in range(k + 1, n + 1):
+                for a in range(i):
+                    if (t := raw[a:i]) in vocab:
+                        if not a:
+                            if alone[t]:
+                                known[raw[:i]] = t, 1
+                                break
+                        else:
+                            last, c = known[raw[:a]]
+                            if stays[last, t]:
+                                known[raw[:i]] = t, c + 1
+                                break
+            count = [0, *[known[raw[:i]][1] for i in range(1, n + 1)]]
+        else:
+            last, count = [b""], [0]
+            for i in range(1, n + 1):
+                for a in range(i - longest if i > longest else 0, i):
+                    if (t := raw[a:i]) in vocab and (stays[last[a], t] if a else alone[t]):
+                        last.append(t)
+                        count.append(count[a] + 1)
+                        break
         if len(raw) == len(piece):
             return tuple(count[1:])
         out, at = [], 0
@@ -101,7 +113,10 @@ class PrefixCounter:
         """Token counts after each code point of a text without special strings."""
         out: list[int] = []
         base, run, run_base = 0, "", 0
-        for p in self.split(text):
+        found = self.split(text)
+        if len(found) == 1 and text[-1] not in SPACE and text not in _CONTRACTIONS:
+            return [*self.pieces[text]]
+        for p in found:
             if p[-1] in SPACE:
                 # White space: a prefix that ends in the run has the run so far as one piece.
                 if not run:
