@@ -59,7 +59,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class SqlBpe:
     """Words to (ids, decoded bytes), through one DuckDB connection for each worker."""
 
-    def __init__(self, path: str, limit: int = 300_000, batch: int = 60_000):
+    def __init__(self, path: str, limit: int = 200_000, batch: int = 20_000):
         import duckdb
         import pyarrow as pa
 
@@ -69,7 +69,7 @@ class SqlBpe:
         self.words: dict[str, tuple[bytes, bytes]] = {}
         self.first: dict[str, tuple | None] = {}
         self.rest: dict[str, tuple | None] = {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         # rank = id, and any split of a token into two tokens is a pair that merges into it
         a, b, ids = [], [], []
         for t, i in self.rank.items():
@@ -171,7 +171,7 @@ def encoder(ranks: str) -> SqlBpe:
     return worker_cache(("sql-bpe", ranks), lambda: SqlBpe(tokenizer_path(ranks)))
 
 
-def _each(docs: DataFrame, ranks: str, schema: str, make, group: int = 4096) -> DataFrame:
+def _each(docs: DataFrame, ranks: str, schema: str, make, group: int = 2048) -> DataFrame:
     import pyarrow as pa
 
     kind = docs.schema["doc_id"].dataType.simpleString()

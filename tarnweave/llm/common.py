@@ -86,20 +86,25 @@ class Memo(dict):
 
 
 def worker_cache(name: str, make):
-    """One object for each Python worker, kept between tasks."""
+    """One object for each Python worker, kept between tasks until another operator asks for its own."""
     if name not in _CACHE:
+        _CACHE.clear()
+        _LATEST.clear()
+        gc.collect()
         _CACHE[name] = make()
     return _CACHE[name]
 
 
 _CACHE: dict = {}
+_LATEST: dict = {}
 
 
 def latest(name: str, token: str, make):
     """Like worker_cache, but a new token replaces the object of the last one."""
-    held = _CACHE.get(name)
+    held = _LATEST.get(name)
     if held is None or held[0] != token:
-        held = _CACHE[name] = (token, make())
+        held = token, make()
+        _LATEST[name] = held
     return held[1]
 
 

@@ -39,7 +39,7 @@ def words_of(text: bytes) -> list[bytes]:
 def word_hash():
     import xxhash
 
-    return worker_cache("word-hash", lambda: Memo(xxhash.xxh64_intdigest, 1_000_000))
+    return worker_cache("word-hash", lambda: Memo(xxhash.xxh64_intdigest, 500_000))
 
 
 def gram_hashes(h, n: int):

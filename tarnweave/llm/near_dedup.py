@@ -35,7 +35,7 @@ _P = 0x9E3779B97F4A7C15
 def _word_hash() -> Memo:
     import xxhash
 
-    return worker_cache("word-hash", lambda: Memo(xxhash.xxh64_intdigest, 1_000_000))
+    return worker_cache("word-hash", lambda: Memo(xxhash.xxh64_intdigest, 500_000))
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list:
