@@ -18,6 +18,7 @@ from .operators import retrieval as R
 from .operators import vectors as V
 from .plans import search as S
 from .sources import crawl as W
+from .sources.storage import write_step
 
 CONFIG = EngineConfig()
 FLAGSHIP = "bm25_top_docs"
@@ -296,6 +297,7 @@ EDGES = "ed AS (SELECT DISTINCT page_id AS src, (page_id * 7 + k * 13) % (SELECT
 
 @query("WITH RECURSIVE " + EDGES + ", r(page, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM r JOIN ed ON src = page WHERE depth < 6) SELECT page, min(depth)::INTEGER AS depth FROM r GROUP BY page")
 def link_reachability(spark, sf_dir):
+    """Six levels over made-up links, as its SQL has them; crawl_reachability walks the links of the pages."""
     pages = read(spark, sf_dir, "pages")
     n = pages.agg(F.count("*").alias("n"))
     e = pages.where("page_id % 3 <> 0").join(F.broadcast(n), how="cross")
@@ -304,6 +306,15 @@ def link_reachability(spark, sf_dir):
     return W.reachable(spark, e, seeds, max_depth=6)
 
 
+@query()
+def crawl_reachability(spark, sf_dir):
+    """The crawl over the links of all pages to the configured depth; each site starts at its page of least id."""
+    pages = read(spark, sf_dir, "pages")
+    starts = H.page_addresses(pages).groupBy(U.host(F.col("page")).alias("site")).agg(F.min_by("page", F.struct("page_id", "page")).alias("page"))
+    edges = write_step(spark, H.link_edges(pages, CONFIG.allowed_domains), "links")
+    return W.reachable(spark, edges, starts, CONFIG.crawl_depth)
+
+
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 20 = 0), v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS b FROM embeddings),
 s AS (SELECT query_id, id, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) AS score FROM q, v),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM k WHERE rank <= 10""")

@@ -173,3 +173,27 @@ def page_links(pages: DataFrame, domains: tuple[str, ...] = ()) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page_id", "url", "target", "kind"])
 
     return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, target string, kind string")
+
+
+def link_edges(pages: DataFrame, domains: tuple[str, ...] = ()) -> DataFrame:
+    """(src, dst): distinct links from page to page, both ends normalised alike; PDF files are not followed."""
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            rows = [(src, t) for u, h in zip(b["url"], b["html"]) if u and (src := resolve(u, u, ())) for t in links_of(h, u, domains)[0]]
+            yield pd.DataFrame(rows, columns=["src", "dst"])
+
+    return pages.select("url", "html").mapInPandas(run, "src string, dst string").distinct()
+
+
+def page_addresses(pages: DataFrame) -> DataFrame:
+    """(page_id, page): the addresses of the pages as ``link_edges`` writes them."""
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, p) for i, u in zip(b["page_id"], b["url"]) if u and (p := resolve(u, u, ()))]
+            yield pd.DataFrame(rows, columns=["page_id", "page"])
+
+    return pages.select("page_id", "url").mapInPandas(run, "page_id long, page string")

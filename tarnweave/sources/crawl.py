@@ -26,24 +26,22 @@ def reachable(spark: SparkSession, edges: DataFrame, seeds: DataFrame, max_depth
     """(page, depth) of everything within ``max_depth`` links of the seeds, breadth first.
 
     Each level joins only its new pages with the links and leaves out what is known; levels are written
-    out, so the lineage stays short and a lost executor repeats one level.
+    out and read back together, so plans stay short and a lost executor repeats one level.
     """
     from .storage import write_step
 
-    known = write_step(spark, seeds.select("page").distinct().withColumn("depth", F.lit(0)), "reach")
-    parts, new = [known], known
+    new = write_step(spark, seeds.select("page").distinct().withColumn("depth", F.lit(0)), "reach")
+    paths, schema = new.inputFiles(), new.schema
+    known = new
     for depth in range(1, max_depth + 1):
         found = edges.join(new.select(F.col("page").alias("src")), "src").select(F.col("dst").alias("page")).distinct()
-        for p in parts:
-            found = found.join(p.select("page"), "page", "left_anti")
+        found = found.join(known.select("page"), "page", "left_anti")
         new = write_step(spark, found.withColumn("depth", F.lit(depth)), "reach")
         if new.isEmpty():
             break
-        parts.append(new)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        paths = [*paths, *new.inputFiles()]
+        known = spark.read.schema(schema).parquet(*paths)
+    return known
 
 
 def pdf_documents(files: DataFrame, parse: Callable[[bytes], tuple[str, list[str]]], least: int = 50) -> DataFrame:
