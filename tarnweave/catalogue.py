@@ -336,7 +336,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, i
 
 
 def fused_hits(spark, sf_dir) -> DataFrame:
-    """Twenty questions: a sparse list and one by length fused."""
+    """Twenty questions, as their SQL has them: a sparse list and one by length fused; fused_hits_all takes all."""
     docs = ids(read(spark, sf_dir, "documents"))
     q = read(spark, sf_dir, "benchmark").where("item_id < 20")
     counts, stats = B.term_counts(docs), B.corpus(docs)
@@ -359,6 +359,33 @@ def rerank_filter(spark, sf_dir):
     return R.keep_scores(fused_hits(spark, sf_dir), 0.3).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+FUSED_ALL = FUSED.replace(" FROM benchmark WHERE item_id < 20),", " FROM benchmark),").replace("(SELECT * FROM benchmark WHERE item_id < 20) i JOIN documents d ON d.doc_id % 20 = i.item_id", "benchmark i CROSS JOIN documents d")
+
+
+def fused_hits_all(spark, sf_dir) -> DataFrame:
+    """The whole benchmark against every document: a sparse list and one by length fused."""
+    d, q = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    docs = ids(d)
+    counts, stats = B.term_counts(docs), B.corpus(docs)
+    terms = q.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"), F.lit(1.0).alias("weight"))
+    wanted = F.broadcast(terms.select("term").distinct())
+    idf = B.idf(counts, stats, CONFIG.bm25_epsilon).join(wanted, "term", "left_semi")
+    w = B.weights(counts.join(wanted, "term", "left_semi"), F.broadcast(idf), stats, CONFIG)
+    sparse = R.best_documents(terms, w, CONFIG.prefetch, digits=6)
+    near = R.nearest_values(q.select(F.col("item_id").alias("query_id"), F.length("text").alias("value")), d.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("value")), CONFIG.prefetch)
+    return R.fuse([sparse, near], CONFIG.candidates, CONFIG.rrf_k).withColumn("score", F.round("score", 6))
+
+
+@query(FUSED_ALL + " SELECT query_id, id, score, rank FROM rk WHERE rank <= 20")
+def hybrid_rrf_all(spark, sf_dir):
+    return fused_hits_all(spark, sf_dir).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(FUSED_ALL + ", bs AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM rk WHERE rank <= 20) SELECT query_id, id, score, rank FROM bs WHERE score >= 0.3 OR (rank = 1 AND best < 0.3)")
+def rerank_filter_all(spark, sf_dir):
+    return R.keep_scores(fused_hits_all(spark, sf_dir), 0.3).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def ranked_docs(spark, sf_dir) -> DataFrame:
     """Eight documents for each of many questions, as ranked hits."""
     d = read(spark, sf_dir, "documents")

@@ -14,6 +14,96 @@ def top(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+def _least(best: list, costs, ids: list, k: int) -> list:
+    """The k least (cost, id) of ``best`` and a batch; null ids come first, as in ``top``."""
+    import heapq
+
+    import numpy as np
+
+    at = np.arange(len(costs)) if len(costs) <= k else np.flatnonzero(costs <= np.partition(costs, k - 1)[k - 1])
+    return heapq.nsmallest(k, best + [(float(costs[i]), ids[i] is not None, ids[i]) for i in at])
+
+
+def _ranked(frame: DataFrame, run, query_kind: str, id_kind: str, k: int) -> DataFrame:
+    return top(frame.mapInArrow(run, f"query_id {query_kind}, id {id_kind}, score double"), k)
+
+
+def best_documents(terms: DataFrame, postings: DataFrame, k: int, digits: int = 9, block: int = 512) -> DataFrame:
+    """(query_id, id, score, rank): for each query of (query_id, term, weight) the best k of postings (id, term, weight).
+
+    Each document's postings come together and meet the queries in blocks; a task hands on only its own
+    best k of each query, so that neither all pairs nor one term's postings meet in one place.
+    """
+    import pyarrow as pa
+
+    kinds = [f.dataType for f in (terms.schema["query_id"], postings.schema["id"])]
+    docs = postings.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("p")).select("id", "p.term", "p.weight")
+    by_query: dict = {}
+    for q, t, w in terms.select("query_id", "term", "weight").toLocalIterator():
+        by_query.setdefault(q, []).append((t, w))
+    names = list(by_query)
+    shared = terms.sparkSession.sparkContext.broadcast([[(q, by_query[q]) for q in names[at : at + block]] for at in range(0, len(names), block)])
+
+    def run(batches):
+        import numpy as np
+
+        best = [[[] for _ in qs] for qs in shared.value]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                rows = whole.slice(at, 1024)
+                ids, found, weights = (c.to_pylist() for c in rows.columns)
+                for qs, held in zip(shared.value, best):
+                    slot: dict = {}
+                    cells = [(slot.setdefault(t, len(slot)), j, w) for j, (_, ts) in enumerate(qs) for t, w in ts]
+                    m = np.zeros((len(slot), len(qs)))
+                    for r, c, w in cells:
+                        m[r, c] += w
+                    s = np.zeros((len(ids), len(qs)))
+                    for i, (ts, ws) in enumerate(zip(found, weights)):
+                        use = [x for x, t in enumerate(ts) if t in slot]
+                        if use:
+                            s[i] = np.array([ws[x] for x in use]) @ m[[slot[ts[x]] for x in use]]
+                    for j in range(len(qs)):
+                        hit = np.flatnonzero(s[:, j] > 0)
+                        held[j] = _least(held[j], -np.round(s[hit, j], digits), [ids[i] for i in hit], k)
+        out = [(q, x[2], -x[0]) for qs, held in zip(shared.value, best) for (q, _), h in zip(qs, held) for x in h]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), arrow)], names=["query_id", "id", "score"])
+
+    arrow = [*map(_arrow, kinds), pa.float64()]
+    return _ranked(docs, run, *(x.simpleString() for x in kinds), k)
+
+
+def nearest_values(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): for each of (query_id, value) the k rows of (id, value) nearest in value, all rows compared."""
+    import pyarrow as pa
+
+    kinds = [f.dataType for f in (queries.schema["query_id"], rows.schema["id"])]
+    shared = queries.sparkSession.sparkContext.broadcast([tuple(r) for r in queries.select("query_id", "value").collect()])
+
+    def run(batches):
+        import numpy as np
+
+        best = [[] for _ in shared.value]
+        for b in batches:
+            ids, values = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), dtype=np.float64)
+            for j, (_, v) in enumerate(shared.value):
+                d = np.abs(values - (np.nan if v is None else v))
+                best[j] = _least(best[j], np.where(np.isnan(d), np.inf, d), ids, k)
+        out = [(q, x[2], -x[0]) for (q, _), h in zip(shared.value, best) for x in h]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), arrow)], names=["query_id", "id", "score"])
+
+    arrow = [*map(_arrow, kinds), pa.float64()]
+    return _ranked(rows.select("id", F.col("value").cast("double")), run, *(x.simpleString() for x in kinds), k)
+
+
+def _arrow(kind):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
+
+
 def fuse(lists: list[DataFrame], limit: int, k: int = 2) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists (ranks from 1, so a first place adds 1 / k)."""
     union = lists[0].select("query_id", "id", "rank")
