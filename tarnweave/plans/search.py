@@ -57,7 +57,7 @@ def search(queries: DataFrame, chunks: DataFrame, config: EngineConfig = EngineC
         n = F.lit(1.0) * F.col("n")
         weight = weight * F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     q = terms.join(idf.where("idf > 0"), "term").join(F.broadcast(stats), how="cross").select("query_id", "term", weight.alias("weight"))
-    lists = [R.top(B.score(q, postings).withColumn("score", F.round("score", 9)), config.prefetch)]
+    lists = [R.best_documents(q, postings, config.prefetch)]
     if vectors:
         from ..operators.vectors import nearest
 
