@@ -477,4 +477,4 @@ def search_contexts(spark, sf_dir):
     """The whole search plan over chunked documents: language, hybrid retrieval, fusion, filter, context."""
     q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     chunks = write_step(spark, C.chunk_documents(documents(spark, sf_dir), CONFIG).dropDuplicates(["chunk_id"]), "chunks")
-    return S.search(q, chunks, CONFIG)
+    return S.search(q, chunks, CONFIG, vectors=S.embedded(q, chunks))

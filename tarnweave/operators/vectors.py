@@ -32,6 +32,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = 40
     import pandas as pd
 
     rows = queries.select("query_id", "vector")
+    query_kind, id_kind = rows.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
     parts, block = [], []
 
     def scan(block):
@@ -49,11 +50,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = 40
                 m = np.stack([np.asarray(v, dtype=np.float64) for v in b["vector"]])
                 s = q @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)).T
                 s, own = np.round(s, 9), b["id"].to_numpy()
-                order = np.stack([np.lexsort((own, -r))[:k] for r in s])
+                place = np.argsort(np.argsort(own, kind="stable"), kind="stable")
+                order = np.stack([np.lexsort((place, -r))[:k] for r in s])
                 n = order.shape[1]
                 yield pd.DataFrame({"query_id": np.repeat(ids, n), "id": own[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
 
-        return vectors.select("id", "vector").mapInPandas(run, "query_id long, id long, score double")
+        return vectors.select("id", "vector").mapInPandas(run, f"query_id {query_kind}, id {id_kind}, score double")
 
     for r in rows.toLocalIterator():
         block.append((r[0], list(r[1])))
@@ -61,7 +63,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = 40
             parts.append(scan(block))
             block = []
     if block or not parts:
-        parts.append(scan(block) if block else vectors.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0))
+        parts.append(scan(block) if block else vectors.select(F.lit(None).cast(query_kind).alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

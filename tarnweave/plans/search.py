@@ -39,6 +39,12 @@ def hashed_embedding(text: Column) -> Column:
     return counts
 
 
+def embedded(queries: DataFrame, chunks: DataFrame, embed: Embedder = hashed_embedding) -> tuple[DataFrame, DataFrame]:
+    """Query and chunk vectors as ``search`` takes them."""
+    vector = lambda c: embed(F.coalesce(F.col(c), F.lit(""))).alias("vector")
+    return queries.select("query_id", vector("text")), chunks.select(F.col("chunk_id").alias("id"), vector("content"))
+
+
 def keep_order(hits: DataFrame) -> DataFrame:
     """The offline reranker: candidates stay in order."""
     return hits
