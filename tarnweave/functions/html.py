@@ -31,23 +31,30 @@ class Node:
     def __init__(self, tag: str, attrs: dict):
         self.tag, self.attrs, self.children = tag, attrs, []
 
-    def walk(self):
-        for c in self.children:
-            if isinstance(c, Node):
+    def _inside(self):
+        """All nodes and texts below, in page order; without recursion, as pages nest to any depth."""
+        stack = [iter(self.children)]
+        while stack:
+            for c in stack[-1]:
                 yield c
-                yield from c.walk()
+                if isinstance(c, Node):
+                    stack.append(iter(c.children))
+                    break
+            else:
+                stack.pop()
+
+    def walk(self):
+        return (c for c in self._inside() if isinstance(c, Node))
 
     def text(self) -> list[str]:
-        out = []
-        for c in self.children:
-            out += c.text() if isinstance(c, Node) else [s] if (s := c.strip()) else []
-        return out
+        return [s for c in self._inside() if isinstance(c, str) and (s := c.strip())]
 
     def prune(self, gone) -> None:
-        self.children = [c for c in self.children if not (isinstance(c, Node) and gone(c))]
-        for c in self.children:
-            if isinstance(c, Node):
-                c.prune(gone)
+        stack = [self]
+        while stack:
+            n = stack.pop()
+            n.children = [c for c in n.children if not (isinstance(c, Node) and gone(c))]
+            stack += [c for c in n.children if isinstance(c, Node)]
 
     def classes(self) -> set[str]:
         return set((self.attrs.get("class") or "").split())
@@ -64,7 +71,7 @@ class _Tree(HTMLParser):
             self.open.pop()
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < 400:
+        if tag not in VOID:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
