@@ -19,7 +19,7 @@ from .common import table
 
 WINDOW = 8
 SEPARATORS = " \t\n\x0b\x0c\r"
-SYMBOLS = "[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"  # the class [#*$%&|<>]
 TOO_SHORT, REPEATED, SYMBOLIC, WORD_LENGTH, DUP_LINES = 1, 2, 4, 8, 16
 RULES = {"too_short": TOO_SHORT, "repeated": REPEATED, "symbolic": SYMBOLIC, "word_length": WORD_LENGTH, "dup_lines": DUP_LINES}
 #: Versioned policies: a document is kept if none of the mask's bits is set.
