@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -21,14 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach (``spark.checkpoint.dir``).
 
-    A private temporary folder is used only where the session names none, as in single-machine tests.
+    Only on a single machine (master ``local``) may the session leave it unset; a private folder then serves.
     """
     global _OWN_DIR
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _OWN_DIR is None:
-        _OWN_DIR = "file://" + tempfile.mkdtemp(prefix="tarnweave-")
+        folder = tempfile.mkdtemp(prefix="tarnweave-")
+        atexit.register(shutil.rmtree, folder, True)
+        _OWN_DIR = "file://" + folder
     return _OWN_DIR
 
 
@@ -50,12 +57,41 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so a lost executor costs no recomputation."""
     path = scratch(spark, name)
     write_once(spark, df, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop_scratch(spark: SparkSession, *steps: DataFrame | str) -> None:
+    """Remove written steps (frames that ``materialize`` returned, or paths) that no later result reads."""
+    for x in steps:
+        p = spark._jvm.org.apache.hadoop.fs.Path(x if isinstance(x, str) else x.written_to)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+HOT_KEYS = 20_000
+
+
+def hot_limit(rows: int) -> int:
+    """Keys of more rows than this are hot; there are at most HOT_KEYS of them, whatever the table."""
+    return max(1_000, -(-rows // HOT_KEYS))
+
+
+def join_hot(spark: SparkSession, big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join ``big`` (a written table) to ``small`` (one narrow row for each key) without meeting hot keys in one task.
+
+    Rows of hot keys meet a broadcast of their at most HOT_KEYS partners, all others a shuffled join.
+    """
+    rows = big.count()
+    most = hot_limit(rows)
+    if most >= rows:
+        return big.join(small, key, how)
+    hot = big.groupBy(key).count().where(F.col("count") > most).select(key)
+    if not (keys := hot.collect()):
+        return big.join(small, key, how)
+    hot = F.broadcast(spark.createDataFrame(keys, hot.schema))
+    cold = big.join(hot, key, "left_anti").join(small, key, how)
+    return cold.unionByName(big.join(hot, key, "left_semi").join(F.broadcast(small.join(hot, key, "left_semi")), key, how))
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -3,35 +3,67 @@
 A document's set holds its distinct shingles; its sketch keeps the K least hashes.  Documents of equal
 sets form a class, and only class representatives are compared.
 
-Candidates come from inverted lists of retained values.  Two sets of similarity 0.8 share about 0.8 K of
-their joint K least hashes; that they share fewer than NEED has odds below 3e-8, and none at all for sets
-of at most K shingles, whose sketch is the whole set.  Sketches that share NEED values must meet in the
-list of one of their K - NEED + 1 rarest, so each sketch is listed only under those, and values that very
-many documents retain (boilerplate, a common passage, a common word pair) mostly drop out.
-
-Lists are resolved in two rounds, so that a list of thousands of copies costs one comparison for each.
-First every member meets the least member of its lists; what is confirmed is joined to components.  Then
-the pairs that still lie in different components meet.  Every pair passes the length bound, then the
-estimate from the union's sketch, and is confirmed on the full sets of both texts.
+Candidates come from inverted lists of retained values.  Two sets of the wanted similarity share at least
+``needed`` of their joint K least hashes (for 0.8: 22 of 48, but for odds below 1e-7; no exception for sets
+of at most K shingles, whose sketch is the whole set).  Sketches that share so many values must meet in the
+list of one of their rarest, so each sketch is listed only under those, and values that very many
+documents retain (boilerplate, a common passage, a common word pair) mostly drop out.  An entry carries a
+256-bit map of its sketch; the maps' common bits bound the overlap, so chance meetings end in the list.
+
+No list is compared pair by pair while it is long:
+
+1. Every member meets its list's pivot, the one with the fewest rarer values (the middle of a group of
+   copies).  What is confirmed is joined to components, and lists within one component are done.
+2. Lists that still hold several components are dealt by size of set (partners differ by 1 / similarity at
+   most).  A part of at most SHORT members is compared pair by pair: linear work.
+3. Members of longer parts are sketched anew with k = all: an exact prefix filter.  A set is listed under
+   the rarest of its values that two sets of the similarity cannot all differ in, and each place in that
+   order bounds the size of a partner.  Just-too-different members of a group of near copies have values
+   of their own first, and so leave the group's lists without meeting its members.  Lists that stay mixed
+   meet pivots again, then their pairs.
+
+Every pair passes the size bound, the estimate from the union's sketch, and is confirmed on the full sets
+of both texts.  No list is capped and no member dropped.
 
 Null, empty and wordless texts have an empty set and link with nothing.  Rows without id are never linked
-and are kept.  Repeated rows share their id's component.  An empty table gives an empty result; extra
-columns are ignored.
+and are kept.  Rows of one id are one document: repeated rows share its component, and where its texts
+differ it has the links of each.  An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, materialize, release_shuffles, table, text_bytes, worker_cache
-from .components import connected_components
+from .common import Memo, drop_scratch, hot_limit, join_hot, materialize, release_shuffles, table, text_bytes, worker_cache
+from .components import merged
 
-K, NEED = 48, 22
+K, SHORT, ODDS = 48, 48, 1e-7
+#: Ids whose texts are fetched without shuffling the documents: two longs each.
 BROADCAST_ROWS = 1_000_000
+#: A pivot's text is sent to so many tasks at most, each with its share of the partners.
+SPREAD = 64
+BITS = [f"bits{i}" for i in range(4)]
 _P = 0x9E3779B97F4A7C15
 
 
+@cache
+def needed(size: int, percent: int) -> int:
+    """The least number of values that a sketch of ``size`` values shares with any sketch of a linked set."""
+    from math import ceil, comb
+
+    p = percent / 100
+    if size < K:  # the whole set; the partner's may be cut to K values
+        most = size * 100 // percent
+        return max(1, min(-(-size * percent // 100), K - max(0, most - -(-most * percent // 100))))
+    below, t = 0.0, 0
+    while (below := below + comb(K, t) * p**t * (1 - p) ** (K - t)) < ODDS:
+        t += 1
+    return max(1, t)
+
+
 def _word_hash() -> Memo:
     import xxhash
 
@@ -75,7 +107,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list:
 
 
 def sketches(docs: DataFrame, width: int = 2) -> DataFrame:
-    """(doc_id, n, set_key, sketch): the set's size, a 128-bit key of the whole set, its K least hashes."""
+    """(doc_id, text_hash, n, set_key, sketch, bits): the set's size, a 128-bit key of the whole set, its K least hashes and their map."""
     import pyarrow as pa
 
     def run(batches):
@@ -88,52 +120,95 @@ def sketches(docs: DataFrame, width: int = 2) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                sets = shingle_sets([bytes(x) for x in b.column(1).to_pylist()], width)
+                sets = shingle_sets([bytes(x) for x in b.column(2).to_pylist()], width)
+                bits = np.zeros((len(sets), 256), dtype=np.uint8)
+                for i, s in enumerate(sets):
+                    bits[i, (s[:K] & np.uint64(255)).astype(np.int64)] = 1
+                maps = np.packbits(bits, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0),
+                        b.column(1),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([md5(s.tobytes()).digest() for s in sets], pa.binary()),
                         pa.array([s[:K].astype(np.int64) for s in sets], pa.list_(pa.int64())),
+                        *(pa.array(np.ascontiguousarray(maps[:, i])) for i in range(4)),
                     ],
-                    names=["doc_id", "n", "set_key", "sketch"],
+                    names=["doc_id", "text_hash", "n", "set_key", "sketch", *BITS],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t"))
-    return rows.mapInArrow(run, "doc_id long, n long, set_key binary, sketch array<long>")
-
-
-def _near_sizes(a: str, b: str) -> Column:
-    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), text_bytes().alias("t"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, set_key binary, sketch array<long>, " + ", ".join(f"{c} long" for c in BITS))
 
 
-def listed(reps: DataFrame) -> DataFrame:
-    """(v, id, n): every sketch under its rarest retained values, as far as others retain them too."""
-    held = reps.select("id", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
-    common = held.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    met = held.join(common, "v").groupBy("id", "n", "s").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("l"))
-    # NEED of K values; smaller sets are whole, and any two that are linked share over half of each.
-    need = F.when(F.col("s") < K, F.ceil(F.col("s") / 2)).otherwise(F.lit(NEED)).cast("int")
-    room = F.col("s") - need + 1 - (F.col("s") - F.size("l"))
-    met = met.where(room > 0).select("id", "n", F.explode(F.slice("l", F.lit(1), room)).alias("x"))
-    return met.select(F.col("x.v").alias("v"), "id", "n")
+def classes(rows: DataFrame) -> DataFrame:
+    """One row for each distinct set, with a number of its own, its least row and how many rows it has."""
+    first = lambda c: F.first(c).alias(c)
+    out = rows.where("n > 0 and doc_id is not null").groupBy("set_key").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count("*").alias("rows"), *(first(c) for c in ("n", "sketch", *BITS))
+    )
+    return out.select(F.monotonically_increasing_id().alias("id"), "set_key", "least.doc_id", "least.text_hash", "rows", "n", "sketch", *BITS)
+
+
+def _near_sizes(a: str, b: str, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _alike(x: str, y: str) -> Column:
+    """Whether the maps leave enough common values; values that fell on one bit are allowed for on either side."""
+    common = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseAND(F.col(f"{y}.{c}"))) for c in BITS), F.lit(0))
+    return common >= F.greatest(f"{x}.need", f"{y}.need") - F.least(f"{x}.lost", f"{y}.lost")
+
+
+def listed(spark: SparkSession, reps: DataFrame, percent: int) -> DataFrame:
+    """(v, id, n, place, need, lost, bits): every sketch under its rarest retained values, as far as others retain them too."""
+    held = reps.select("id", F.explode("sketch").alias("v"))
+    common = materialize(spark, held.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "near-values")
+    most = hot_limit(common.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0])
+    hot = common.where(F.col("df") > most)
+    met = held.join(common.where(F.col("df") <= most), "v")
+    if not hot.isEmpty():
+        met = met.unionByName(held.join(F.broadcast(hot), "v"))
+    met = met.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("l")).join(reps, "id")
+    need = F.element_at(F.array(*[F.lit(needed(s, percent)) for s in range(1, K + 1)]), F.size("sketch"))
+    lost = F.size("sketch") - sum((F.bit_count(c) for c in BITS), F.lit(0))
+    alone = F.size("sketch") - F.size("l")
+    room = F.size("sketch") - need + 1 - alone
+    met = met.where(room > 0).select("id", "n", need.alias("need"), lost.alias("lost"), alone.alias("alone"), *BITS, F.posexplode(F.slice("l", F.lit(1), room)).alias("i", "x"))
+    out = materialize(spark, met.select(F.col("x.v").alias("v"), "id", "n", (F.col("alone") + F.col("i")).alias("place"), "need", "lost", *BITS), "near-lists")
+    drop_scratch(spark, common)
+    return out
 
 
-def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def likely(spark: SparkSession, pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that the union's sketch leaves possible; ``sure`` where both sketches are whole sets."""
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    p = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    p = materialize(spark, join_hot(spark, pairs.select("a", "b"), side("a"), "a"), "near-halves")
+    p = join_hot(spark, p, side("b"), "b")
     both, any_ = F.array_intersect("s_a", "s_b"), F.array_union("s_a", "s_b")
     whole = (F.col("n_a") <= K) & (F.col("n_b") <= K)
     p = p.select("a", "b", whole.alias("sure"), both.alias("both"), any_.alias("any"))
     least = F.slice(F.sort_array("any"), 1, K)
-    exact = 100 * F.size("both") >= 80 * F.size("any")
-    near = F.size(F.array_intersect("both", least)) >= NEED
+    exact = 100 * F.size("both") >= percent * F.size("any")
+    near = F.size(F.array_intersect("both", least)) >= needed(K, percent)
     return p.where(F.when(F.col("sure"), exact).otherwise(near)).select("a", "b", "sure")
 
 
-def confirmed(spark: SparkSession, pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the similarity, compared on the texts themselves."""
+def texts_of(spark: SparkSession, ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, t): one text for each class in ``ids``."""
+    wanted = materialize(spark, ids.join(reps.select("id", "doc_id", "text_hash"), "id"), "near-ids")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text_bytes().alias("t")).join(wanted, ["doc_id", "text_hash"])
+    return found.groupBy("id").agg(F.first("t").alias("t"))
+
+
+def confirmed(spark: SparkSession, pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the similarity.
+
+    The text of ``a`` comes once for each group of its partners, then theirs; a worker holds one set of
+    ``a`` and the sets of one slice of partners.
+    """
     import pyarrow as pa
 
     def run(batches):
@@ -142,70 +217,173 @@ def confirmed(spark: SparkSession, pairs: DataFrame, docs: DataFrame, width: int
         import numpy as np
 
         warnings.simplefilter("ignore", RuntimeWarning)
+        at, mine = None, None
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                texts = [[bytes(x) for x in b.column(c).to_pylist()] for c in (2, 3)]
-                left, right = (shingle_sets(t, width) for t in texts)
-                same = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)]
-                ok = [100 * i >= percent * (len(x) + len(y) - i) for i, x, y in zip(same, left, right)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:2]], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    ids = materialize(spark, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-    if ids.count() <= BROADCAST_ROWS:  # eight bytes each
-        ids = F.broadcast(ids)
-    # Texts of one id that differ would be several documents; the least stands for them, as in the classes.
-    texts = docs.select("doc_id", text_bytes().alias("t")).join(ids, "doc_id").groupBy("doc_id").agg(F.min("t").alias("t"))
-    texts = materialize(spark, texts, "near-texts")
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("t").alias(f"t_{x}"))
-    rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
+            for start in range(0, whole.num_rows, 512):
+                x = whole.slice(start, 512)
+                sets = shingle_sets([bytes(t) for t in x.column(3).to_pylist()], width)
+                left, right = [], []
+                for a, b, s in zip(x.column(0).to_pylist(), x.column(2).to_pylist(), sets):
+                    if b is None:
+                        at, mine = a, s
+                        continue
+                    assert a == at
+                    same = len(np.intersect1d(mine, s, assume_unique=True))
+                    if 100 * same >= percent * (len(mine) + len(s) - same):
+                        left.append(a)
+                        right.append(b)
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    pairs = pairs.select("a", (F.abs(F.hash("b")) % SPREAD).alias("part"), "b")
+    firsts = pairs.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("id")).distinct()
+    asked = materialize(spark, firsts.unionByName(pairs.withColumn("id", F.col("b"))), "near-asked")
+    texts = texts_of(spark, asked.select("id").distinct(), reps, docs)
+    rows = asked.join(texts, "id").select("a", "part", "b", "t").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _placed(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries with their component ``c``."""
+    return entries.join(labels.select("id", "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+
+
+def _prefixes(spark: SparkSession, open_ids: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(v, id, n, place, most): whole sets under their rarest values; a partner that they meet first at v has at most ``most`` shingles."""
+    import pyarrow as pa
+
+    def run(batches):
+        import warnings
+
+        import numpy as np
+
+        warnings.simplefilter("ignore", RuntimeWarning)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                sets = shingle_sets([bytes(x) for x in b.column(1).to_pylist()], width)
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "n", "whole"])
+
+    sets = materialize(spark, texts_of(spark, open_ids, reps, docs).mapInArrow(run, "id long, n long, whole array<long>"), "near-wholes")
+    held = sets.select("id", "n", F.explode("whole").alias("v"))
+    common = materialize(spark, held.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "near-values")
+    most = hot_limit(common.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0])
+    hot = common.where(F.col("df") > most)
+    met = held.join(common.where(F.col("df") <= most), "v")
+    if not hot.isEmpty():
+        met = met.unionByName(held.join(F.broadcast(hot), "v"))
+    met = met.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("l"))
+    # At least ceil(similarity * n) values are shared, so one of the first n - that + 1 is.
+    alone = F.col("n") - F.size("l")
+    room = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone).cast("int")
+    met = met.where(room > 0).select("id", "n", alone.alias("alone"), F.posexplode(F.slice("l", F.lit(1), room)).alias("i", "x"))
+    place = F.col("alone") + F.col("i")
+    # Shared values lie at this place or later: n - place >= similarity / (1 + similarity) * (both sizes).
+    bound = F.floor((F.col("n") - place) * (100 + percent) / percent) - F.col("n")
+    out = materialize(spark, met.select(F.col("x.v").alias("v"), "id", "n", place.alias("place"), bound.alias("most")), "near-prefixes")
+    drop_scratch(spark, sets, common)
+    return out
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(spark, sketches(docs, width), "near-sketches")
-    reps = (
-        rows.where("n > 0 and doc_id is not null").groupBy("set_key")
-        .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    )
-    reps = materialize(spark, reps, "near-classes")
-    compared = reps.groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).where("n > 1")
-    keys = materialize(spark, listed(compared), "near-lists")
+    reps = materialize(spark, classes(rows), "near-classes")
+    entries = listed(spark, reps.where("n > 1").select("id", "n", "sketch", *BITS), percent)
     release_shuffles(spark)
 
-    def links(pairs: DataFrame) -> DataFrame:
-        p = materialize(spark, likely(pairs, compared), "near-pairs")
-        checked = confirmed(spark, p.where("not sure"), docs, width, percent)
-        out = materialize(spark, p.where("sure").select("a", "b").unionByName(checked), "near-links")
+    def linked(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """The components after the links among ``pairs``."""
+        p = materialize(spark, pairs, "near-pairs")
+        if labels is not None and p.isEmpty():
+            return labels
+        p = materialize(spark, likely(spark, p, reps, percent), "near-likely")
+        checked = confirmed(spark, p.where("not sure"), reps, docs, width, percent)
+        found = materialize(spark, p.where("sure").select("a", "b").unionByName(checked), "near-links")
         release_shuffles(spark)
-        return out
-
-    least = keys.groupBy("v").agg(F.min(F.struct("id", "n")).alias("least"), F.count("*").alias("c")).where("c > 1")
-    first = keys.join(least, "v").where((F.col("id") > F.col("least.id")) & _near_sizes("n", "least.n"))
-    first = materialize(spark, first.select(F.col("least.id").alias("a"), F.col("id").alias("b")).distinct(), "near-first")
-    found = links(first)
-    labels = connected_components(spark, found)
-
-    placed = keys.join(labels, "id", "left").select("v", "id", "n", F.coalesce("component", "id").alias("c"))
+        return merged(spark, labels, found)
+
+    def pair(x: str, y: str) -> list[Column]:
+        return [F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b")]
+
+    # 1. Every member of a list and its pivot.
+    pivots = entries.groupBy("v").agg(F.min(F.struct("place", "id", "n", "need", "lost", *BITS)).alias("p"))
+    met = join_hot(spark, entries, pivots, "v").withColumn("m", F.struct("id", "n", "need", "lost", *BITS))
+    met = met.where((F.col("id") != F.col("p.id")) & _near_sizes("m.n", "p.n", percent) & _alike("m", "p"))
+    labels = linked(met.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct(), None)
+
+    # 2. Lists of several components, dealt by size: partners lie in one band or in neighbouring ones.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9) if percent < 100 else F.col("n")
+    placed = _placed(entries, labels).withColumn("band", band.cast("long"))
+    placed = placed.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("up")).withColumn("band", F.col("band") + F.col("up"))
+    placed = materialize(spark, placed, "near-placed")
+    parts = placed.groupBy("v", "band").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("up").alias("least"))
+    parts = materialize(spark, parts.where("lo < hi and least = 0").select("v", "band", "k"), "near-parts")
+    short = placed.join(parts.where(F.col("k") <= SHORT), ["v", "band"])
+    short = materialize(spark, short, "near-short")
+    x, y = short.where("up = 0").alias("x"), short.alias("y")
+    other = (F.col("y.up") == 1) | (F.col("x.id") < F.col("y.id"))
+    met = x.join(y, ["v", "band"]).where(other & (F.col("x.c") != F.col("y.c")) & _near_sizes("x.n", "y.n", percent) & _alike("x", "y"))
+    found = linked(met.select(*pair("x", "y")).distinct(), labels)
+
+    # 3. Members of longer parts, by their whole sets.
+    long_parts = parts.where(F.col("k") > SHORT).withColumn("key", F.xxhash64("v", "band")).select("key").distinct()
+    open_ids = join_hot(spark, materialize(spark, placed.select(F.xxhash64("v", "band").alias("key"), "id"), "near-keys"), long_parts, "key").select("id").distinct()
+    open_ids = materialize(spark, open_ids, "near-open")
+    drop_scratch(spark, placed, short, parts, entries)
+    labels = found
+    if not open_ids.isEmpty():
+        labels = _resolve_long(spark, open_ids, reps, docs, width, percent, labels, linked, pair)
+
+    # Rows of one id are one document, whatever their sets.
+    several = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi")
+    several = materialize(spark, several.select("doc_id"), "near-several")
+    if not several.isEmpty():
+        apart = rows.where("n > 0").join(several, "doc_id").select("doc_id", "set_key").distinct()
+        apart = materialize(spark, apart.join(reps.select("set_key", "id"), "set_key").select("doc_id", "id"), "near-apart")
+        firsts = apart.groupBy("doc_id").agg(F.min("id").alias("a"))
+        found = join_hot(spark, apart, firsts, "doc_id").where("a <> id").select("a", F.col("id").alias("b"))
+        labels = merged(spark, labels, materialize(spark, found, "near-links"))
+
+    # A component's name is its least doc_id; classes of many rows are broadcast to them.
+    named = materialize(spark, reps.select("id", "doc_id", "set_key", "rows").join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")), "near-named")
+    names = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    named = materialize(spark, join_hot(spark, named, names, "c").select("set_key", "rows", "component_id"), "near-components")
+    most = hot_limit(named.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
+    hot = F.broadcast(named.where(F.col("rows") > most).select("set_key", "component_id"))
+    own = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key"))
+    out = own.join(hot, "set_key", "left").withColumnRenamed("component_id", "known")
+    cold = named.where(F.col("rows") <= most).select("set_key", "component_id")
+    out = out.withColumn("open", F.when(F.col("known").isNull() & F.col("doc_id").isNotNull(), F.col("set_key")))
+    rest = out.where("open is not null").drop("known").join(cold, "set_key")
+    done = out.where("open is null").withColumn("component_id", F.coalesce("known", "doc_id")).drop("known")
+    out = done.unionByName(rest)
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _resolve_long(spark, open_ids, reps, docs, width, percent, labels, linked, pair) -> DataFrame:
+    """The components after everything that the members of long lists are linked with."""
+    entries = _prefixes(spark, open_ids, reps, docs, width, percent)
+    for turn in range(3):
+        placed = materialize(spark, _placed(entries, labels), "near-placed")
+        bounds = placed.groupBy("v").agg(F.min("n").alias("least_n"))
+        fits = materialize(spark, join_hot(spark, placed, bounds, "v").where(F.col("most") >= F.col("least_n")).drop("least_n"), "near-fits")
+        mixed = fits.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.min(F.struct("place" if not turn else F.hash("id", F.lit(turn)), "id", "n", "most", "c")).alias("p"))
+        mixed = materialize(spark, mixed.where("lo < hi").select("v", "k", "p"), "near-mixed")
+        work = mixed.agg(F.coalesce(F.sum(F.col("k") * F.col("k")), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
+        if work[0] <= SHORT * work[1]:
+            break
+        met = join_hot(spark, fits, mixed, "v").where((F.col("c") != F.col("p.c")) & (F.col("n") <= F.col("p.most")) & (F.col("p.n") <= F.col("most")))
+        labels = linked(met.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct(), labels)
+    placed = _placed(fits.drop("c"), labels)
     mixed = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
-    placed = materialize(spark, placed.join(mixed, "v"), "near-open")
-    x, y = placed.alias("x"), placed.alias("y")
-    rest = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _near_sizes("x.n", "y.n"))
-    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    found = found.unionByName(links(materialize(spark, rest, "near-rest")))
-    # Rows of one id and different sets are one document.
-    same = rows.where("n > 0 and doc_id is not null").select("doc_id", "set_key").distinct()
-    same = same.join(reps.select("set_key", F.col("id").alias("rep")), "set_key")
-    found = found.unionByName(same.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    labels = connected_components(spark, found)
-    out = rows.select("doc_id", "n").join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
-    )
+    rest = materialize(spark, placed.join(mixed, "v"), "near-rest")
+    x, y = rest.alias("x"), rest.alias("y")
+    fit = (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most")) & _near_sizes("x.n", "y.n", percent)
+    met = x.join(y, "v").where((F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & fit)
+    return linked(met.select(*pair("x", "y")).distinct(), labels)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
