@@ -77,19 +77,23 @@ def hot_limit(rows: int) -> int:
     return max(1_000, -(-rows // HOT_KEYS))
 
 
-def join_hot(spark: SparkSession, big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def hot_keys(big: DataFrame, key: str) -> list | None:
+    """The rows (key) of ``big``, a written table, that ``hot_limit`` calls hot."""
+    rows = big.count()
+    most = hot_limit(rows)
+    return big.groupBy(key).count().where(F.col("count") > most).select(key).collect() if most < rows else []
+
+
+def join_hot(spark: SparkSession, big: DataFrame, small: DataFrame, key: str, how: str = "inner", keys: list | None = None) -> DataFrame:
     """Join ``big`` (a written table) to ``small`` (one narrow row for each key) without meeting hot keys in one task.
 
     Rows of hot keys meet a broadcast of their at most HOT_KEYS partners, all others a shuffled join.
     """
-    rows = big.count()
-    most = hot_limit(rows)
-    if most >= rows:
-        return big.join(small, key, how)
-    hot = big.groupBy(key).count().where(F.col("count") > most).select(key)
-    if not (keys := hot.collect()):
+    if keys is None:
+        keys = hot_keys(big, key)
+    if not keys:
         return big.join(small, key, how)
-    hot = F.broadcast(spark.createDataFrame(keys, hot.schema))
+    hot = F.broadcast(spark.createDataFrame(keys, big.select(key).schema))
     cold = big.join(hot, key, "left_anti").join(small, key, how)
     return cold.unionByName(big.join(hot, key, "left_semi").join(F.broadcast(small.join(hot, key, "left_semi")), key, how))
 

@@ -183,8 +183,7 @@ def listed(spark: SparkSession, reps: DataFrame, percent: int) -> DataFrame:
 def likely(spark: SparkSession, pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that the union's sketch leaves possible; ``sure`` where both sketches are whole sets."""
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    p = materialize(spark, join_hot(spark, pairs.select("a", "b"), side("a"), "a"), "near-halves")
-    p = join_hot(spark, p, side("b"), "b")
+    p = join_hot(spark, pairs.select("a", "b"), side("a"), "a").join(side("b"), "b")
     both, any_ = F.array_intersect("s_a", "s_b"), F.array_union("s_a", "s_b")
     whole = (F.col("n_a") <= K) & (F.col("n_b") <= K)
     p = p.select("a", "b", whole.alias("sure"), both.alias("both"), any_.alias("any"))
@@ -194,16 +193,16 @@ def likely(spark: SparkSession, pairs: DataFrame, reps: DataFrame, percent: int)
     return p.where(F.when(F.col("sure"), exact).otherwise(near)).select("a", "b", "sure")
 
 
-def texts_of(spark: SparkSession, ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, t): one text for each class in ``ids``."""
-    wanted = materialize(spark, ids.join(reps.select("id", "doc_id", "text_hash"), "id"), "near-ids")
-    if wanted.count() <= BROADCAST_ROWS:
+def texts_of(ids: DataFrame, few: bool, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, t): one text for each class in ``ids``; ``few`` says that they are at most BROADCAST_ROWS."""
+    wanted = ids.join(reps.select("id", "doc_id", "text_hash"), "id")
+    if few:
         wanted = F.broadcast(wanted)
     found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text_bytes().alias("t")).join(wanted, ["doc_id", "text_hash"])
     return found.groupBy("id").agg(F.first("t").alias("t"))
 
 
-def confirmed(spark: SparkSession, pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, few: bool, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs whose full sets reach the similarity.
 
     The text of ``a`` comes once for each group of its partners, then theirs; a worker holds one set of
@@ -236,8 +235,8 @@ def confirmed(spark: SparkSession, pairs: DataFrame, reps: DataFrame, docs: Data
 
     pairs = pairs.select("a", (F.abs(F.hash("b")) % SPREAD).alias("part"), "b")
     firsts = pairs.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("id")).distinct()
-    asked = materialize(spark, firsts.unionByName(pairs.withColumn("id", F.col("b"))), "near-asked")
-    texts = texts_of(spark, asked.select("id").distinct(), reps, docs)
+    asked = firsts.unionByName(pairs.withColumn("id", F.col("b")))
+    texts = texts_of(asked.select("id").distinct(), few, reps, docs)
     rows = asked.join(texts, "id").select("a", "part", "b", "t").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return rows.mapInArrow(run, "a long, b long")
 
@@ -264,7 +263,8 @@ def _prefixes(spark: SparkSession, open_ids: DataFrame, reps: DataFrame, docs: D
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "n", "whole"])
 
-    sets = materialize(spark, texts_of(spark, open_ids, reps, docs).mapInArrow(run, "id long, n long, whole array<long>"), "near-wholes")
+    few = open_ids.count() <= BROADCAST_ROWS
+    sets = materialize(spark, texts_of(open_ids, few, reps, docs).mapInArrow(run, "id long, n long, whole array<long>"), "near-wholes")
     held = sets.select("id", "n", F.explode("whole").alias("v"))
     common = materialize(spark, held.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "near-values")
     most = hot_limit(common.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0])
@@ -280,8 +280,10 @@ def _prefixes(spark: SparkSession, open_ids: DataFrame, reps: DataFrame, docs: D
     place = F.col("alone") + F.col("i")
     # Shared values lie at this place or later: n - place >= similarity / (1 + similarity) * (both sizes).
     bound = F.floor((F.col("n") - place) * (100 + percent) / percent) - F.col("n")
-    out = materialize(spark, met.select(F.col("x.v").alias("v"), "id", "n", place.alias("place"), bound.alias("most")), "near-prefixes")
-    drop_scratch(spark, sets, common)
+    met = materialize(spark, met.select(F.col("x.v").alias("v"), "id", "n", place.alias("place"), bound.alias("most")), "near-prefixes")
+    bounds = met.groupBy("v").agg(F.min("n").alias("least"))
+    out = materialize(spark, join_hot(spark, met, bounds, "v").where(F.col("most") >= F.col("least")).drop("least"), "near-fits")
+    drop_scratch(spark, sets, common, met)
     return out
 
 
@@ -299,10 +301,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 2, percen
         if labels is not None and p.isEmpty():
             return labels
         p = materialize(spark, likely(spark, p, reps, percent), "near-likely")
-        checked = confirmed(spark, p.where("not sure"), reps, docs, width, percent)
-        found = materialize(spark, p.where("sure").select("a", "b").unionByName(checked), "near-links")
-        release_shuffles(spark)
-        return merged(spark, labels, found)
+        few = 2 * p.count() <= BROADCAST_ROWS
+        checked = confirmed(p.where("not sure"), few, reps, docs, width, percent)
+        return merged(spark, labels, materialize(spark, p.where("sure").select("a", "b").unionByName(checked), "near-links"))
 
     def pair(x: str, y: str) -> list[Column]:
         return [F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b")]
@@ -328,12 +329,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 2, percen
     found = linked(met.select(*pair("x", "y")).distinct(), labels)
 
     # 3. Members of longer parts, by their whole sets.
-    long_parts = parts.where(F.col("k") > SHORT).withColumn("key", F.xxhash64("v", "band")).select("key").distinct()
-    open_ids = join_hot(spark, materialize(spark, placed.select(F.xxhash64("v", "band").alias("key"), "id"), "near-keys"), long_parts, "key").select("id").distinct()
-    open_ids = materialize(spark, open_ids, "near-open")
-    drop_scratch(spark, placed, short, parts, entries)
     labels = found
-    if not open_ids.isEmpty():
+    if parts.where(F.col("k") > SHORT).isEmpty():
+        drop_scratch(spark, placed, short, parts, entries)
+    else:
+        long_parts = parts.where(F.col("k") > SHORT).select("v", "band")
+        open_ids = materialize(spark, placed.join(long_parts, ["v", "band"], "left_semi").select("id").distinct(), "near-open")
+        drop_scratch(spark, placed, short, parts, entries)
         labels = _resolve_long(spark, open_ids, reps, docs, width, percent, labels, linked, pair)
 
     # Rows of one id are one document, whatever their sets.
@@ -366,23 +368,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 2, percen
 def _resolve_long(spark, open_ids, reps, docs, width, percent, labels, linked, pair) -> DataFrame:
     """The components after everything that the members of long lists are linked with."""
     entries = _prefixes(spark, open_ids, reps, docs, width, percent)
-    for turn in range(3):
+
+    def mixed() -> tuple[DataFrame, DataFrame]:
+        """Entries with their component, and the lists of several components with the middle of their group."""
         placed = materialize(spark, _placed(entries, labels), "near-placed")
-        bounds = placed.groupBy("v").agg(F.min("n").alias("least_n"))
-        fits = materialize(spark, join_hot(spark, placed, bounds, "v").where(F.col("most") >= F.col("least_n")).drop("least_n"), "near-fits")
-        mixed = fits.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.min(F.struct("place" if not turn else F.hash("id", F.lit(turn)), "id", "n", "most", "c")).alias("p"))
-        mixed = materialize(spark, mixed.where("lo < hi").select("v", "k", "p"), "near-mixed")
-        work = mixed.agg(F.coalesce(F.sum(F.col("k") * F.col("k")), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-        if work[0] <= SHORT * work[1]:
-            break
-        met = join_hot(spark, fits, mixed, "v").where((F.col("c") != F.col("p.c")) & (F.col("n") <= F.col("p.most")) & (F.col("p.n") <= F.col("most")))
-        labels = linked(met.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct(), labels)
-    placed = _placed(fits.drop("c"), labels)
-    mixed = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
-    rest = materialize(spark, placed.join(mixed, "v"), "near-rest")
-    x, y = rest.alias("x"), rest.alias("y")
+        found = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("place", "id", "n", "most", "c")).alias("p"))
+        return placed, materialize(spark, found.where("lo < hi").select("v", "p"), "near-mixed")
+
+    placed, lists = mixed()
+    met = join_hot(spark, placed, lists, "v").where((F.col("c") != F.col("p.c")) & (F.col("n") <= F.col("p.most")) & (F.col("p.n") <= F.col("most")))
+    labels = linked(met.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct(), labels)
+    placed, lists = mixed()
+    rest = materialize(spark, join_hot(spark, placed, lists, "v").select(*placed.columns, (F.col("c") != F.col("p.c")).alias("apart")), "near-rest")
+    # Of two components one at least isn't the pivot's: its members meet the list, the others don't meet each other.
+    x, y = rest.where("apart").alias("x"), rest.alias("y")
     fit = (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most")) & _near_sizes("x.n", "y.n", percent)
-    met = x.join(y, "v").where((F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & fit)
+    met = x.join(y, "v").where((F.col("x.c") != F.col("y.c")) & fit)
     return linked(met.select(*pair("x", "y")).distinct(), labels)
 
 
