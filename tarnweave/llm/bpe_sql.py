@@ -23,26 +23,25 @@ from .common import table, text_bytes, tokenizer_path, worker_cache
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG = 48
 
-#: A row is a token at its position with its right neighbour; ``best`` is the rank and place of the pair to contract.
+#: A row is a token at the place of its last byte with its right neighbour; ``best`` is the rank and place of the pair to
+#: contract.  The merged token takes the right one's row, the left one's row goes, and the row before points to the new token.
 ENCODE = """
 WITH RECURSIVE step(w, pos, tok, next, after, depth) AS (
     SELECT w, pos, tok, next, after, 0 FROM symbols
   UNION ALL
     SELECT s.w, s.pos,
-           CASE WHEN s.pos = c.pos THEN c.id ELSE s.tok END,
-           CASE WHEN s.pos = c.pos THEN c.next WHEN s.after = c.pos THEN c.id ELSE s.next END,
-           CASE WHEN s.pos = c.pos THEN c.after ELSE s.after END,
+           CASE WHEN s.pos = c.gone THEN c.id ELSE s.tok END,
+           CASE WHEN s.after = c.place THEN c.id ELSE s.next END,
+           CASE WHEN s.after = c.place THEN c.gone ELSE s.after END,
            s.depth + 1
     FROM step s JOIN (
-        SELECT l.w, l.pos, l.after AS gone, k.id, r.next, r.after
+        SELECT w, gone, (best >> 32)::INTEGER AS id, (best & 4294967295)::INTEGER AS place
         FROM (
-            SELECT p.w, min((m.id::BIGINT << 8) | p.pos) AS best, (best >> 8)::INTEGER AS id
+            SELECT p.w, min((m.id::BIGINT << 32) | p.pos) AS best, arg_min(p.after, (m.id::BIGINT << 32) | p.pos) AS gone
             FROM step p JOIN merges m ON m.a = p.tok AND m.b = p.next GROUP BY p.w
-        ) k
-        JOIN step l ON l.w = k.w AND l.pos = k.best & 255
-        JOIN step r ON r.w = l.w AND r.pos = l.after
+        )
     ) c ON c.w = s.w
-    WHERE s.pos <> c.gone
+    WHERE s.pos <> c.place
 ),
 done AS (SELECT w, max(depth) AS depth FROM step GROUP BY w)
 SELECT s.w, string_agg(s.tok, ',' ORDER BY s.pos) AS ids, string_agg(t.hex, '' ORDER BY s.pos) AS decoded
@@ -51,6 +50,28 @@ GROUP BY s.w
 """
 
 
+class Aged(dict):
+    """A memo of two generations: when the young one is full it becomes the old one, and what is used again moves back."""
+
+    __slots__ = ("limit", "old")
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit // 2, {}
+
+    def age(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, key):
+        value = self[key] = self.old[key]
+        return value
+
+    def __contains__(self, key):
+        return super().__contains__(key) or key in self.old
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(t): int(n) for t, n in map(bytes.split, f)}
@@ -59,16 +80,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class SqlBpe:
     """Words to (ids, decoded bytes), through one DuckDB connection for each worker."""
 
-    def __init__(self, path: str, limit: int = 200_000, batch: int = 20_000):
+    def __init__(self, path: str, limit: int = 300_000, batch: int = 20_000):
         import duckdb
         import pyarrow as pa
 
         self.rank = read_ranks(path)
         self.bytes_of = {i: t for t, i in self.rank.items()}
-        self.limit, self.batch, self.split = limit, batch, splitter()
-        self.words: dict[str, tuple[bytes, bytes]] = {}
-        self.first: dict[str, tuple | None] = {}
-        self.rest: dict[str, tuple | None] = {}
+        self.batch, self.split = batch, splitter()
+        self.words, self.first, self.rest = Aged(limit), Aged(limit // 10), Aged(limit)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         # rank = id, and any split of a token into two tokens is a pair that merges into it
         a, b, ids = [], [], []
@@ -122,11 +141,8 @@ class SqlBpe:
 
     def prepare(self, texts: list[str]) -> list[list | None]:
         """Each text's chunks as (ids, bytes) pairs, or None where a cut isn't safe; what is new is encoded in one go."""
-        if len(self.words) > self.limit:
-            self.words.clear()
-        if len(self.first) + len(self.rest) > self.limit:
-            self.first.clear()
-            self.rest.clear()
+        for memo in (self.words, self.first, self.rest):
+            memo.age()
         first, rest, known, asks = self.first, self.rest, self.words, []
         heads, tails, out = set(), set(), []
         for t in texts:
