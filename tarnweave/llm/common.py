@@ -104,6 +104,25 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as one column ``row``, so that no name of theirs meets one of an operator's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def raw(texts) -> list[bytes]:
+    """An Arrow column of strings or bytes as bytes; null counts as empty."""
+    import pyarrow as pa
+
+    return [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches in parts of at most so many rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def text_bytes(col: str = "text"):
     """Whole text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(col).cast("binary"), F.lit(b"").cast("binary"))
@@ -130,11 +149,21 @@ def worker_cache(name: str, make):
     if name not in _CACHE:
         _CACHE.clear()
         _LATEST.clear()
-        gc.collect()
+        _give_back()
         _CACHE[name] = make()
     return _CACHE[name]
 
 
+def _give_back() -> None:
+    """Return the memory of dropped objects to the machine, as far as its C library can."""
+    import ctypes
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 _CACHE: dict = {}
 _LATEST: dict = {}
 

@@ -16,13 +16,13 @@ either side gives the obvious result.  Other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import Memo, latest, materialize, table, text_bytes, worker_cache
+from .common import Memo, latest, materialize, raw, slices, table, text_bytes, worker_cache, wrapped
 
 WINDOW, GRAM, SPAN = 8, 4, 5
 BLOCK_WINDOWS = 200_000
@@ -181,66 +181,69 @@ def benchmark_blocks(benchmark: DataFrame, block_windows: int):
         yield block
 
 
-def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) with n_words, hit (word positions) and items (sorted ids)."""
+def _marked(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block_windows: int) -> DataFrame:
+    """(row, n_words, hit, items): every row of ``docs`` as a struct, with what was found in it."""
     import pyarrow as pa
 
     blocks = [spark.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark, block_windows)] or [spark.sparkContext.broadcast([])]
-    rows = docs.select(*[c for c in docs.columns if c != "text"], F.col("text"), text_bytes().alias("_raw"))
-    keep = [f for f in rows.schema.fields if f.name != "_raw"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", n_words long, hit array<int>, items array<string>"
+    at = docs.columns.index("text")
+    rows = wrapped(docs)
+    found_in = "n_words long, hit array<int>, items array<string>"
 
-    def scan(block):
+    def scan(block, name, text):
         token = uuid.uuid4().hex
 
         def run(batches):
             index = latest("benchmark-index", token, lambda: BenchmarkIndex(block.value))
-            for b in batches:
-                found = index.hits([bytes(x) for x in b.column(b.num_columns - 1).to_pylist()])
+            for b in slices(batches, 2048):
+                found = index.hits(raw(text(b)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *b.columns[:-1],
+                        b.column(0),
                         pa.array([x[0] for x in found], pa.int64()),
                         pa.array([sorted(x[1]) for x in found], pa.list_(pa.int32())),
                         pa.array([sorted(x[2]) for x in found], pa.list_(pa.string())),
                     ],
-                    names=[*b.schema.names[:-1], "n_words", "hit", "items"],
+                    names=[name, "n_words", "hit", "items"],
                 )
 
         return run
 
-    out = rows.mapInArrow(scan(blocks[0]), schema)
     if len(blocks) == 1:
-        return out
-    key = ["_key"]
-    rows = materialize(spark, rows.withColumn("_key", F.monotonically_increasing_id()), "contamination-rows")
-    narrow = rows.select("_key", "_raw")
-    parts = [
-        narrow.mapInArrow(scan(b), "_key long, n_words long, hit array<int>, items array<string>").where("size(items) > 0").select("_key", "hit", "items")
-        for b in blocks
-    ]
+        whole = StructType([*rows.schema.fields, *_parse_datatype_string(found_in).fields])
+        return rows.mapInArrow(scan(blocks[0], "row", lambda b: b.column(0).field(at)), whole)
+    rows = materialize(spark, rows.withColumn("key", F.monotonically_increasing_id()), "contamination-rows")
+    narrow = rows.select("key", F.col("row.text").alias("t"))
+    parts = [narrow.mapInArrow(scan(b, "key", lambda x: x.column(1)), f"key long, {found_in}").where("size(items) > 0").select("key", "hit", "items") for b in blocks]
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
-    merged = merged.groupBy("_key").agg(
+    merged = merged.groupBy("key").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    counts = narrow.mapInArrow(_count_words, "_key long, n_words long")
+    counts = narrow.mapInArrow(_count_words, "key long, n_words long")
     none = F.array().cast
-    return (
-        rows.drop("_raw").join(counts, key).join(merged, key, "left")
-        .withColumns({"hit": F.coalesce("hit", none("array<int>")), "items": F.coalesce("items", none("array<string>"))})
-        .drop("_key")
-    )
+    out = rows.join(counts, "key").join(merged, "key", "left")
+    return out.select("row", "n_words", F.coalesce("hit", none("array<int>")).alias("hit"), F.coalesce("items", none("array<string>")).alias("items"))
+
+
+def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) with n_words, hit (word positions) and items (sorted ids), in place of columns of these names."""
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_words", "hit", "items")]
+    return _marked(spark, docs, benchmark, block_windows).select(*own, "n_words", "hit", "items")
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of ``docs``, with their own columns only, that hold no window of any item."""
+    return _marked(spark, docs, benchmark, block_windows).where("size(items) = 0").select("row.*")
 
 
 def _count_words(batches):
     import pyarrow as pa
 
-    for b in batches:
-        n = [len(words_of(bytes(x))) for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["_key", "n_words"])
+    for b in slices(batches):
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(words_of(x)) for x in raw(b.column(1))], pa.int64())], names=["key", "n_words"])
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,23 +257,3 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("items") >= 2).alias("contaminated"),
     )
 
-
-def brute_force(docs: list[tuple], items: list[tuple]) -> dict:
-    """The same by comparing every window; for tests."""
-    windows: dict[tuple, set] = {}
-    for item, text in items:
-        w = words_of((text or "").encode())
-        if w and item is not None:
-            n = min(WINDOW, len(w))
-            for i in range(len(w) - n + 1):
-                windows.setdefault(tuple(w[i : i + n]), set()).add(str(item))
-    out = {}
-    for doc, text in docs:
-        w, hit, named = words_of((text or "").encode()), set(), set()
-        for n in {len(k) for k in windows}:
-            for i in range(len(w) - n + 1):
-                if got := windows.get(tuple(w[i : i + n])):
-                    hit.update(range(i, i + n))
-                    named |= got
-        out[doc] = (len(w), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), len(named) >= 2)
-    return out

@@ -326,17 +326,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 2, percen
     x, y = short.where("up = 0").alias("x"), short.alias("y")
     other = (F.col("y.up") == 1) | (F.col("x.id") < F.col("y.id"))
     met = x.join(y, ["v", "band"]).where(other & (F.col("x.c") != F.col("y.c")) & _near_sizes("x.n", "y.n", percent) & _alike("x", "y"))
-    found = linked(met.select(*pair("x", "y")).distinct(), labels)
-
-    # 3. Members of longer parts, by their whole sets.
-    labels = found
-    if parts.where(F.col("k") > SHORT).isEmpty():
-        drop_scratch(spark, placed, short, parts, entries)
-    else:
-        long_parts = parts.where(F.col("k") > SHORT).select("v", "band")
+    pairs = met.select(*pair("x", "y"))
+
+    # 3. Members of longer parts, by their whole sets: pivots with the pairs above, then what is still mixed.
+    long_parts = parts.where(F.col("k") > SHORT).select("v", "band")
+    wholes = None
+    if not long_parts.isEmpty():
         open_ids = materialize(spark, placed.join(long_parts, ["v", "band"], "left_semi").select("id").distinct(), "near-open")
-        drop_scratch(spark, placed, short, parts, entries)
-        labels = _resolve_long(spark, open_ids, reps, docs, width, percent, labels, linked, pair)
+        wholes = _prefixes(spark, open_ids, reps, docs, width, percent)
+        met = _mixed(spark, wholes, labels).where("apart").where((F.col("n") <= F.col("p.most")) & (F.col("p.n") <= F.col("most")))
+        pairs = pairs.unionByName(met.select(F.col("p.id").alias("a"), F.col("id").alias("b")))
+    labels = linked(pairs.distinct(), labels)
+    drop_scratch(spark, placed, short, parts, entries)
+    if wholes is not None:
+        rest = materialize(spark, _mixed(spark, wholes, labels).drop("p"), "near-rest")
+        # Of two components one at least isn't the pivot's: its members meet the list, the others don't meet each other.
+        x, y = rest.where("apart").alias("x"), rest.alias("y")
+        fit = (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most")) & _near_sizes("x.n", "y.n", percent)
+        met = x.join(y, "v").where((F.col("x.c") != F.col("y.c")) & fit)
+        labels = linked(met.select(*pair("x", "y")).distinct(), labels)
 
     # Rows of one id are one document, whatever their sets.
     several = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi")
@@ -365,26 +373,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 2, percen
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _resolve_long(spark, open_ids, reps, docs, width, percent, labels, linked, pair) -> DataFrame:
-    """The components after everything that the members of long lists are linked with."""
-    entries = _prefixes(spark, open_ids, reps, docs, width, percent)
-
-    def mixed() -> tuple[DataFrame, DataFrame]:
-        """Entries with their component, and the lists of several components with the middle of their group."""
-        placed = materialize(spark, _placed(entries, labels), "near-placed")
-        found = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("place", "id", "n", "most", "c")).alias("p"))
-        return placed, materialize(spark, found.where("lo < hi").select("v", "p"), "near-mixed")
-
-    placed, lists = mixed()
-    met = join_hot(spark, placed, lists, "v").where((F.col("c") != F.col("p.c")) & (F.col("n") <= F.col("p.most")) & (F.col("p.n") <= F.col("most")))
-    labels = linked(met.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct(), labels)
-    placed, lists = mixed()
-    rest = materialize(spark, join_hot(spark, placed, lists, "v").select(*placed.columns, (F.col("c") != F.col("p.c")).alias("apart")), "near-rest")
-    # Of two components one at least isn't the pivot's: its members meet the list, the others don't meet each other.
-    x, y = rest.where("apart").alias("x"), rest.alias("y")
-    fit = (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most")) & _near_sizes("x.n", "y.n", percent)
-    met = x.join(y, "v").where((F.col("x.c") != F.col("y.c")) & fit)
-    return linked(met.select(*pair("x", "y")).distinct(), labels)
+def _mixed(spark: SparkSession, entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries of lists of several components: component ``c``, the middle ``p`` of the list, and whether they lie in another than it."""
+    placed = materialize(spark, _placed(entries, labels), "near-placed")
+    lists = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("place", "id", "n", "most", "c")).alias("p"))
+    return join_hot(spark, placed, lists.where("lo < hi").select("v", "p"), "v").withColumn("apart", F.col("c") != F.col("p.c"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

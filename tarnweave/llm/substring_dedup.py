@@ -29,7 +29,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_bytes
+from .common import materialize, slices, table, text_bytes, worker_cache, wrapped
 
 SPAN, GRAM = 50, 25
 REACH = SPAN - GRAM  # bytes on either side of an anchor that a window may hold
@@ -183,7 +183,8 @@ def _anchor_batches(n_buckets: int):
         import numpy as np
 
         np.seterr(over="ignore")
-        for b in batches:
+        worker_cache("repeats", dict)  # other operators' memos go
+        for b in slices(batches, 1 << 16):  # places within one batch take two bytes
             ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
             texts = [bytes(x) for x in b.column(2).to_pylist()]
             docs, hashes = [], []
@@ -260,7 +261,8 @@ def _surroundings(n_buckets: int):
         import numpy as np
 
         np.seterr(over="ignore")
-        for b in batches:
+        worker_cache("repeats", dict)  # other operators' memos go
+        for b in slices(batches, 1 << 16):  # places within one batch take two bytes
             ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
             texts = [bytes(x) for x in b.column(2).to_pylist()]
             known = [np.unique(np.frombuffer(x, np.uint64)) for x in b.column(3).to_pylist()]
@@ -450,31 +452,29 @@ def covered_intervals(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def _with_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(row, starts, ends): every row of ``docs`` as a struct, with the packed places of what goes."""
     spans = covered_intervals(spark, docs.select("doc_id", "text"))
-    spans = spans.withColumnsRenamed({"doc_id": "_id", "text_key": "_key", "starts": "_starts", "ends": "_ends"})
-    return docs.join(spans, (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left").drop("_id", "_key")
+    rows = wrapped(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("text_key"))
+    return rows.join(spans, ["doc_id", "text_key"], "left").select("row", "starts", "ends")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with the text that is left; characters that a cut splits are dropped whole."""
     import pyarrow as pa
 
-    rows = _with_spans(spark, docs).withColumn("_raw", F.col("text").cast("binary"))
     names = docs.columns
-    rows = rows.select(*names, "_raw", "_starts", "_ends")
     at = names.index("text")
 
     def run(batches):
-        for b in batches:
-            texts = []
-            raw, starts, ends = (b.column(len(names) + i).to_pylist() for i in range(3))
-            for t, s, e in zip(raw, starts, ends):
-                texts.append(None if t is None else kept_bytes(bytes(t), merged(s, e)).decode("utf-8", "ignore"))
-            cols = list(b.columns[: len(names)])
+        for b in slices(batches, 2048):
+            row, texts = b.column(0), []
+            for t, s, e in zip(row.field(at).cast(pa.binary()).to_pylist(), *(b.column(i).to_pylist() for i in (1, 2))):
+                texts.append(None if t is None else kept_bytes(t, merged(s, e)).decode("utf-8", "ignore"))
+            cols = [row.field(i) for i in range(len(names))]
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return rows.mapInArrow(run, docs.schema)
+    return _with_spans(spark, docs).mapInArrow(run, docs.schema)
 
 
 def kept_bytes(t: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -490,10 +490,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     import pyarrow as pa
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = _with_spans(spark, docs).select("doc_id", text_bytes().alias("t"), "_starts", "_ends")
+    rows = _with_spans(spark, docs).select("row.doc_id", text_bytes("row.text").alias("t"), "starts", "ends")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 2048):
             n, gone, runs_, sha = [], [], [], []
             for t, s, e in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 t, runs = bytes(t), merged(s, e)

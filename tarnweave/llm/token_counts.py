@@ -41,7 +41,8 @@ class PrefixCounter:
         alphabet = byte_alphabet()
         raw = lambda s: bytes(alphabet[c] for c in s)
         self.vocab = {raw(t): i for t, i in spec["model"]["vocab"].items() if all(c in alphabet for c in t)}
-        self.special = [t["content"] for t in spec["added_tokens"]] or ["\0"]
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special_heads = {s[0] for s in self.special}
         self.rank: dict[tuple[bytes, bytes], int] = {}
         for n, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
@@ -144,7 +145,7 @@ class PrefixCounter:
         parts: list[int] = []
         base, rest = 0, text
         while rest:
-            places = [(at, -len(s), s) for s in self.special if (at := rest.find(s)) >= 0] if self.special[0][0] in rest else None
+            places = [(at, -len(s), s) for s in self.special if (at := rest.find(s)) >= 0] if any(c in rest for c in self.special_heads) else None
             if not places:
                 parts += [base + c for c in self.counts(rest)] if base else self.counts(rest)
                 break

@@ -19,8 +19,9 @@ from math import exp, expm1, log1p
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Memo, table, text_bytes
+from .common import Memo, raw, slices, table, text_bytes, worker_cache
 
 SAMPLE_PER_CLASS = 2_500
 MIN_DOCS = 4
@@ -43,7 +44,8 @@ def features(word: bytes) -> list[bytes]:
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    """Whether a row is kept from the fit; a row without id can't be labelled and counts as held out by no remainder: false."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, seed: int = 9) -> list[tuple[bytes, int]]:
@@ -128,20 +130,39 @@ class Scorer:
         return -expm1(-sum(log1p(exp(z)) if z < 30 else z for z in self.sentence_logits(text)))
 
 
+def _scorer(model: dict) -> Scorer:
+    worker_cache("toxicity", dict)  # other operators' memos go
+    return Scorer(model)
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with a score in 0..1; the model is bounded by its vocabulary, itself bounded by the sample."""
+    """``docs`` with a column toxicity in 0..1 (in place of one of that name); the model is bounded by its sample."""
+    import pyarrow as pa
+
+    docs = docs.drop("toxicity")
+    at = docs.columns.index("text")
+
+    def run(batches):
+        scorer = _scorer(model)
+        for b in slices(batches):
+            s = [scorer.document(x) for x in raw(b.column(at))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "toxicity"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("toxicity", DoubleType())]))
+
+
+def below(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score is under the threshold, with their own columns only."""
     import pyarrow as pa
 
-    rows = docs.withColumn("_raw", text_bytes())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", toxicity double"
+    at = docs.columns.index("text")
 
     def run(batches):
-        scorer = Scorer(model)
-        for b in batches:
-            s = [scorer.document(bytes(x)) for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], "toxicity"])
+        scorer = _scorer(model)
+        for b in slices(batches):
+            yield b.filter(pa.array([scorer.document(x) < threshold for x in raw(b.column(at))], pa.bool_()))
 
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def locate(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
@@ -149,8 +170,8 @@ def locate(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFr
     import pyarrow as pa
 
     def run(batches):
-        scorer = Scorer(model)
-        for b in batches:
+        scorer = _scorer(model)
+        for b in slices(batches):
             ids, at, s = [], [], []
             for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for i, z in enumerate(scorer.sentence_logits(bytes(x)) if model else []):
@@ -178,9 +199,9 @@ def score_only(docs: DataFrame, model: dict) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        scorer = Scorer(model)
-        for b in batches:
-            s = [scorer.document(bytes(x)) for x in b.column(1).to_pylist()]
+        scorer = _scorer(model)
+        for b in slices(batches):
+            s = [scorer.document(x) for x in raw(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "toxicity"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -33,14 +33,19 @@ def record(url, html):
     return F.concat(head, html, F.lit("\r\n\r\n"))
 
 
-def layout(spark: SparkSession, pages: DataFrame, records_per_file: int = RECORDS_PER_FILE) -> DataFrame:
-    """(page_id, file, seq, offset, length, record_sha256): where each page's record lies, and its hash."""
+def layout(spark: SparkSession, pages: DataFrame, records_per_file: int = RECORDS_PER_FILE, hurt=None) -> DataFrame:
+    """(page_id, file, seq, offset, length, record_sha256): where each page's record lies, and its hash.
+
+    Records for which the condition ``hurt`` holds have another last byte, whatever they hold.
+    """
     files = max(1, -(-pages.count() // records_per_file))
     url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     spread = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("page_id").cast("string"), url).cast("binary")), 1, 8), 16, 10).cast("long")
     body = record(url, html).cast("binary")
-    rows = pages.select("page_id", url.alias("url"), (spread % files).alias("file"), F.octet_length(body).cast("long").alias("length"), F.sha2(body, 256).alias("record_sha256"))
-    along = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "url", "record_sha256")
+    sha = F.sha2(body, 256)
+    stored = sha if hurt is None else F.when(hurt, F.sha2(F.concat(F.substring(body, F.lit(1), F.octet_length(body) - 1), F.lit(b"?")), 256)).otherwise(sha)
+    rows = pages.select("page_id", url.alias("url"), (spread % files).alias("file"), F.octet_length(body).cast("long").alias("length"), sha.alias("true_sha256"), stored.alias("record_sha256"))
+    along = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "url", "true_sha256")
     return rows.select(
         "page_id", "file", (F.row_number().over(along) - 1).cast("long").alias("seq"),
         F.coalesce(F.sum("length").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
@@ -88,9 +93,8 @@ def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of ``pages`` with its place and hash, and whether a replica with known damage differs there."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     hurt = F.col("page_id") % DAMAGED_EVERY == DAMAGED_AT
-    replica = pages.withColumn("html", F.when(hurt, F.concat(F.lit("?"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html")))
     records = materialize(spark, layout(spark, pages), "merkle-records")
-    other = layout(spark, replica)
+    other = layout(spark, pages, hurt=hurt)
     bad = audit(spark, tree(spark, records), tree(spark, other)).select("file", F.col("node").alias("seq"), F.lit(True).alias("d"))
     return records.join(bad, ["file", "seq"], "left").select(
         "page_id", "file", "seq", "offset", "length", "record_sha256", F.coalesce("d", F.lit(False)).alias("damaged")

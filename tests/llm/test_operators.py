@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -95,7 +96,7 @@ def test_prefix_counts(docs, texts):
 def test_decontamination(spark, docs, texts):
     items = [(1, texts[6][30:160]), (2, texts[7]), (3, "one"), (4, None), (4, "x y"), (None, texts[8])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = decontamination.brute_force(list(enumerate(texts)), items)
+    want = dict(enumerate(brute.contamination(texts, items)))
     for block in (200_000, 20):
         got = {r.doc_id: (r.n_words, len(r.hit), len(r["items"])) for r in decontamination.find_contamination(spark, docs, bench, block).collect()}
         assert {i: got[i] for i in want} == {i: v[:3] for i, v in want.items()}
