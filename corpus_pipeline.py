@@ -10,25 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnweave.llm.bpe_sql import encode
-from tarnweave.llm.common import materialize, release_shuffles, table
-from tarnweave.llm.decontamination import find_contamination
+from tarnweave.llm.common import materialize, release_shuffles, table, wrapped
+from tarnweave.llm.decontamination import uncontaminated
 from tarnweave.llm.near_dedup import near_duplicates
 from tarnweave.llm.substring_dedup import remove_repeats
-from tarnweave.llm.toxicity import THRESHOLD, fit, score, training_sample
+from tarnweave.llm.toxicity import THRESHOLD, below, fit, training_sample
 
 SHINGLE_WORDS, SIMILARITY = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(training_sample(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
-    return score(docs, model).where(F.col("toxicity") < THRESHOLD).drop("toxicity")
+    return below(docs, model, THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group stays, once."""
-    found = near_duplicates(spark, docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILARITY)
+    """The smallest id of each group stays, in one row: of rows of one id, the one of least text hash.
+
+    Rows without id are no document that could be linked; they all stay.
+    """
+    found = materialize(spark, near_duplicates(spark, docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILARITY), "near-verdicts")
     gone = found.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = wrapped(docs).withColumn("doc_id", F.col("row.doc_id"))
+    once = rows.join(again, "doc_id").groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    rest = rows.join(gone.unionByName(again), "doc_id", "left_anti")
+    return rest.select("row").unionByName(once.select("row")).select("row.*")
 
 
 def remove_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +48,7 @@ def remove_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document that holds a window of any benchmark item goes."""
-    found = find_contamination(spark, docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("items") == 0).select(*docs.columns)
+    return uncontaminated(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +62,7 @@ STAGES = [
     ("decontamination", drop_contaminated),
     ("bpe", encode_bpe),
 ]
-#: SQL expresses neither the fitted model nor the tokens; the stages are tested against brute force.
+#: SQL expresses neither the fitted model nor the tokens; tests/llm/test_queries.py has the stages by brute force.
 ORACLE_SQL = None
 
 
