@@ -18,7 +18,9 @@ def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
 
 def clean_documents(df: DataFrame, least: int = 50) -> DataFrame:
     """(seq, url, title, content) cleaned; short ones go, then the first of each url stays with its language."""
-    c = df.withColumn("content", T.clean_content(F.col("content"), F.col("title"))).where(F.length("content") >= least)
+    # A filter over the cleaned column would be pushed below it and clean every text twice; this one is part of its value.
+    clean = F.filter(F.array(T.clean_content(F.col("content"), F.col("title"))), lambda x: F.length(x) >= least)
+    c = df.select(*[x for x in df.columns if x != "content"], F.explode(clean).alias("content"))
     return first_by(c, "url", "seq").withColumn("language", L.detect(F.col("content"), F.col("url")))
 
 
@@ -31,16 +33,16 @@ def crawl_stats(df: DataFrame) -> DataFrame:
 
 def dedup_flags(df: DataFrame) -> DataFrame:
     """(seq, url, outcome): an earlier row of the url shadows even if it is empty; content repeats count among the rest."""
-    by_url = Window.partitionBy("url").orderBy("seq")
     blank = T.strip(F.coalesce("content", F.lit(""))) == ""
-    d = df.select("seq", "url", "content", (F.row_number().over(by_url) > 1).alias("again"), blank.alias("blank"))
-    live = ~F.col("again") & ~F.col("blank")
-    h = F.when(live, T.content_hash(F.col("content")))
-    d = d.withColumn("h", h)
-    firsts = d.where("h is not null").groupBy("h").agg(F.min("seq").alias("first"))
-    d = d.join(firsts, "h", "left")
-    outcome = F.when(F.col("again"), "duplicate_url").when(F.col("blank"), "empty").when(F.col("seq") > F.col("first"), "duplicate_content")
-    return d.select("seq", "url", outcome.otherwise("kept").alias("outcome"))
+    h = F.when(~blank, T.content_hash(F.col("content")))
+    narrow = df.select("seq", "url", blank.alias("blank"), h.alias("h"))  # texts stay behind
+    by_url = Window.partitionBy("url").orderBy("seq")
+    d = narrow.withColumn("again", F.row_number().over(by_url) > 1)
+    d = d.withColumn("h", F.when(~F.col("again"), F.col("h")))
+    live = d.where("h is not null")
+    firsts = live.groupBy("h").agg(F.min("seq").alias("first"))
+    kept = live.join(firsts, "h").select("seq", "url", F.when(F.col("seq") > F.col("first"), "duplicate_content").otherwise("kept").alias("outcome"))
+    return kept.unionByName(d.where("h is null").select("seq", "url", F.when(F.col("again"), "duplicate_url").otherwise("empty").alias("outcome")))
 
 
 def hash_index(df: DataFrame) -> DataFrame:
