@@ -50,11 +50,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DOCS = "d AS (SELECT doc_id AS seq, 'https://example.com/' || source || '/' || (CASE WHEN doc_id % 2 = 0 THEN doc_id // 10 ELSE doc_id END)::VARCHAR AS url, text AS content FROM documents)"
 TOKENS = r"tok AS (SELECT doc_id AS id, list_transform(regexp_extract_all(text, '[a-zA-Z0-9À-ÿ]+(?:''[a-zA-ZÀ-ÿ]+)?'), lambda x: lower(x)) AS t FROM documents)"
-COUNTS = TOKENS + ", e AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM tok), c AS (SELECT id, dl, term, count(*) AS tf FROM e GROUP BY ALL)"
+COUNTS = TOKENS + ", e AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM tok), c AS MATERIALIZED (SELECT id, dl, term, count(*) AS tf FROM e GROUP BY ALL)"
 FIT = COUNTS + """, s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
 f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
-r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM f, s),
-i AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r),
+r AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM f, s),
+m AS MATERIALIZED (SELECT avg(raw) AS mean FROM r),
+i AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM r, m),
 w AS (SELECT id, c.term, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS weight FROM c JOIN i USING (term), s WHERE idf > 0)"""
 
 

@@ -114,7 +114,7 @@ def main_node(root: Node, selectors: tuple[str, ...]) -> Node | None:
         found = next((n for n in nodes if _matches(n, s)), None)
         if found is not None and len("".join(found.text())) >= 30:
             return found
-    tests = (lambda n: n.tag == "main", lambda n: "content" in (n.attrs.get("class") or "").lower(), lambda n: n.tag == "article", lambda n: n.tag == "body")
+    tests = (lambda n: n.tag == "main", lambda n: "content" in n.classes(), lambda n: n.tag == "article", lambda n: n.tag == "body")
     return next((n for t in tests for n in nodes if t(n)), None)
 
 

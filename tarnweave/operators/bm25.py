@@ -10,10 +10,7 @@ from ..functions.text import tokens
 
 
 def term_counts(docs: DataFrame, remove_stopwords: bool = False) -> DataFrame:
-    """(id, dl, term, tf); a document without tokens has no rows here but counts in ``corpus``.
-
-    Terms are counted inside the row, so only distinct terms of a document are exploded.
-    """
+    """(id, dl, term, tf); a document without tokens has no rows here but counts in ``corpus``."""
     t = docs.select("id", tokens(F.coalesce("content", F.lit("")), remove_stopwords).alias("t"))
     return t.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 

@@ -46,7 +46,7 @@ def ingest(spark: SparkSession, crawled: DataFrame, root: str, config: EngineCon
             kept, todo = D.reusable(held, diff).select(*held.columns), D.to_process(current, diff)
         outcome = D.dedup_flags(todo).where("outcome = 'kept'").select("seq")
         fresh = C.chunk_documents(todo.join(outcome, "seq", "left_semi"), config, embed).drop("document_chunk_count")
-        merged = C.with_counts(fresh if kept is None else kept.drop("document_chunk_count").unionByName(fresh))
+        merged = C.with_counts(fresh if kept is None else kept.drop("document_chunk_count").unionByName(fresh, allowMissingColumns=True))
         if dry_run:
             return IngestReport(False, changes, kept.count() if kept is not None else 0, fresh.count())
         written = index.write(merged)

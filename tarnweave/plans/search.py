@@ -33,10 +33,10 @@ class Judge(Protocol):
 
 
 def hashed_embedding(text: Column) -> Column:
-    """A bag of hashed tokens in 64 dimensions, unit length: the offline stand-in for an embedding service."""
+    """A bag of hashed tokens, counted in 64 dimensions (not scaled): the offline stand-in for an embedding service."""
     slot = F.transform(T.tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(DIMS)).cast("int"))
-    counts = F.aggregate(slot, F.array_repeat(F.lit(0.0), DIMS), lambda acc, s: F.transform(acc, lambda x, i: F.when(i == s, x + 1.0).otherwise(x)))
-    return counts
+    count = lambda s: F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))
+    return T.let(slot, count)
 
 
 def embedded(queries: DataFrame, chunks: DataFrame, embed: Embedder = hashed_embedding) -> tuple[DataFrame, DataFrame]:
@@ -69,7 +69,8 @@ def search(queries: DataFrame, chunks: DataFrame, config: EngineConfig = EngineC
 
         lists.append(nearest(*vectors, config.prefetch))
     hits = R.fuse(lists, config.candidates, config.rrf_k)
-    hits = hits.join(chunks.select(F.col("chunk_id").alias("id"), "content", "source_url", F.lit("").alias("title")), "id")
+    title = F.coalesce("title", F.lit("")) if "title" in chunks.columns else F.lit("")
+    hits = hits.join(chunks.select(F.col("chunk_id").alias("id"), "content", "source_url", title.alias("title")), "id")
     hits = R.keep_scores(rerank(hits).where(F.col("rank") <= config.rerank_top), config.min_rerank_score)
     packed = R.pack_context(hits, config.context_chars)
     return queries.select("query_id", L.of_query(F.col("text")).alias("language")).join(packed, "query_id", "left")
