@@ -17,7 +17,7 @@ import base64
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import chunks, irregular, merge, splitter
+from .bpe import irregular, merge, splitter
 from .common import table, text_bytes, tokenizer_path, worker_cache
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -25,51 +25,49 @@ LONG = 48
 
 #: A row is a token at the place of its last byte with its right neighbour; ``best`` is the rank and place of the pair to
 #: contract.  The merged token takes the right one's row, the left one's row goes, and the row before points to the new token.
+#: The rows of a word without such a pair come once more as final ones.
 ENCODE = """
-WITH RECURSIVE step(w, pos, tok, next, after, depth) AS (
-    SELECT w, pos, tok, next, after, 0 FROM symbols
+WITH RECURSIVE step(w, pos, tok, next, after, final) AS (
+    SELECT w, pos, tok, next, after, false FROM symbols
   UNION ALL
     SELECT s.w, s.pos,
            CASE WHEN s.pos = c.gone THEN c.id ELSE s.tok END,
            CASE WHEN s.after = c.place THEN c.id ELSE s.next END,
            CASE WHEN s.after = c.place THEN c.gone ELSE s.after END,
-           s.depth + 1
-    FROM step s JOIN (
+           c.w IS NULL
+    FROM step s LEFT JOIN (
         SELECT w, gone, (best >> 32)::INTEGER AS id, (best & 4294967295)::INTEGER AS place
         FROM (
             SELECT p.w, min((m.id::BIGINT << 32) | p.pos) AS best, arg_min(p.after, (m.id::BIGINT << 32) | p.pos) AS gone
-            FROM step p JOIN merges m ON m.a = p.tok AND m.b = p.next GROUP BY p.w
+            FROM step p JOIN merges m ON m.a = p.tok AND m.b = p.next WHERE NOT p.final GROUP BY p.w
         )
     ) c ON c.w = s.w
-    WHERE s.pos <> c.place
-),
-done AS (SELECT w, max(depth) AS depth FROM step GROUP BY w)
-SELECT s.w, string_agg(s.tok, ',' ORDER BY s.pos) AS ids, string_agg(t.hex, '' ORDER BY s.pos) AS decoded
-FROM step s JOIN done d ON d.w = s.w AND d.depth = s.depth JOIN tokens t ON t.id = s.tok
-GROUP BY s.w
+    WHERE NOT s.final AND s.pos IS DISTINCT FROM c.place
+)
+SELECT s.w, t.digits, t.bytes FROM step s JOIN tokens t ON t.id = s.tok WHERE s.final ORDER BY s.w, s.pos
 """
 
 
-class Aged(dict):
-    """A memo of two generations: when the young one is full it becomes the old one, and what is used again moves back."""
-
-    __slots__ = ("limit", "old")
+class Aged:
+    """A memo of two generations: a full young one becomes the old one, and what is used again moves back."""
 
     def __init__(self, limit: int):
-        super().__init__()
-        self.limit, self.old = limit // 2, {}
+        self.limit, self.young, self.old = limit // 2, {}, {}
 
     def age(self) -> None:
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
-
-    def __missing__(self, key):
-        value = self[key] = self.old[key]
-        return value
-
-    def __contains__(self, key):
-        return super().__contains__(key) or key in self.old
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+
+    def missing(self, keys) -> list:
+        """The keys without a value; the others are in the young generation afterwards."""
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old.pop(k)
+                else:
+                    out.append(k)
+        return out
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,16 +76,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class SqlBpe:
-    """Words to (ids, decoded bytes), through one DuckDB connection for each worker."""
+    """Texts to ids and decoded bytes, through one DuckDB connection and one memo of words for each worker.
+
+    A batch of texts is cut into chunks, chunks into words, and both are numbered by their distinct values
+    as whole arrays; Python sees only the distinct ones.
+    """
 
-    def __init__(self, path: str, limit: int = 300_000, batch: int = 20_000):
+    def __init__(self, path: str, limit: int = 200_000, batch: int = 8_000):
         import duckdb
         import pyarrow as pa
 
         self.rank = read_ranks(path)
         self.bytes_of = {i: t for t, i in self.rank.items()}
         self.batch, self.split = batch, splitter()
-        self.words, self.first, self.rest = Aged(limit), Aged(limit // 10), Aged(limit)
+        self.words = Aged(limit)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         # rank = id, and any split of a token into two tokens is a pair that merges into it
         a, b, ids = [], [], []
@@ -99,7 +101,8 @@ class SqlBpe:
                     b.append(y)
                     ids.append(i)
         merges = pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "id": pa.array(ids, pa.int32())})  # noqa: F841
-        tokens = pa.table({"id": pa.array(self.rank.values(), pa.int32()), "hex": [t.hex() for t in self.rank]})  # noqa: F841
+        numbers = self.rank.values()
+        tokens = pa.table({"id": pa.array(numbers, pa.int32()), "digits": pa.array([str(i).encode() for i in numbers]), "bytes": pa.array([*self.rank], pa.binary())})  # noqa: F841
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.con.execute("CREATE TABLE tokens AS SELECT * FROM tokens")
 
@@ -109,12 +112,12 @@ class SqlBpe:
         import pyarrow as pa
 
         single = np.array([self.rank[bytes([x])] for x in range(256)], dtype=np.int32)
-        short = []
+        known, short = self.words.young, []
         for w in words:
             raw = w.encode()
             if len(raw) > LONG:
                 ids = merge(raw, self.rank)
-                self.words[w] = ",".join(map(str, ids)).encode(), b"".join(map(self.bytes_of.__getitem__, ids))
+                known[w] = ",".join(map(str, ids)).encode(), b"".join(map(self.bytes_of.__getitem__, ids))
             else:
                 short.append((w, raw))
         for at in range(0, len(short), self.batch):
@@ -135,59 +138,94 @@ class SqlBpe:
                     "after": pos + 1,
                 }
             )
-            got = self.con.sql(ENCODE).to_arrow_table()
-            for i, ids, decoded in zip(*(got.column(c).to_pylist() for c in range(3))):
-                self.words[part[i][0]] = ids.encode(), bytes.fromhex(decoded)
-
-    def prepare(self, texts: list[str]) -> list[list | None]:
-        """Each text's chunks as (ids, bytes) pairs, or None where a cut isn't safe; what is new is encoded in one go."""
-        for memo in (self.words, self.first, self.rest):
-            memo.age()
-        first, rest, known, asks = self.first, self.rest, self.words, []
-        heads, tails, out = set(), set(), []
-        for t in texts:
-            head, *tail = chunks(t)
-            try:
-                out.append([first[head], *map(rest.__getitem__, tail)])
-            except KeyError:
-                heads.add(head)
-                tails.update(tail)
-                asks.append((len(out), head, tail))
-                out.append(None)
-        new = [(first, c, None if irregular(c) else self.split(c)) for c in heads if c not in first]
-        new += [(rest, c, None if irregular(c) else self.split(" " + c)) for c in tails if c not in rest]
-        self.encode_words([*{w for _, _, ws in new if ws for w in ws if w not in known}])
-        for memo, chunk, ws in new:
-            memo[chunk] = None if ws is None else self._joined(ws)
-        for i, head, tail in asks:
-            out[i] = [first[head], *map(rest.__getitem__, tail)]
-        return out
+            got = self.con.sql(ENCODE).to_arrow_table().combine_chunks()
+            starts = np.searchsorted(got.column(0).to_numpy(), np.arange(len(part) + 1))
+            ids, decoded = (_joined(starts, got.column(k).cast(pa.large_binary()).combine_chunks(), between) for k, between in ((1, b","), (2, b"")))
+            known.update(zip([w for w, _ in part], zip(ids.to_pylist(), decoded.to_pylist())))
+
+    def _word_arrays(self, words: list[str]):
+        """The words' ids as decimals joined by commas, and the bytes that these decode to."""
+        import pyarrow as pa
+
+        numbered = pa.array(words, pa.string()).dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        self.words.age()
+        self.encode_words(self.words.missing(distinct))
+        got = [*map(self.words.young.__getitem__, distinct)]
+        for w in distinct:
+            if len(w) > LONG:  # the memo counts words, so long ones don't stay
+                del self.words.young[w]
+        return [pa.array([g[k] for g in got], pa.large_binary()).take(numbered.indices) for k in (0, 1)]
+
+    def documents(self, texts):
+        """For an Arrow column of strings the ids as decimals joined by commas, and the bytes that the ids decode to."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        parts = pc.split_pattern(texts, " ")
+        sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        numbered = parts.flatten().dictionary_encode()
+        distinct, code = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype(np.int64)
+        unsafe = np.array([*map(irregular, distinct)], dtype=bool)
+        whole = np.logical_or.reduceat(unsafe[code], starts)  # texts with a cut that isn't safe are split as they are
+        # The units are the distinct chunks and, for each text, its first chunk (which no space precedes) or all of it.
+        # All chunks are split in one go; the first word of each starts with the space before it, and no other word does.
+        regular = [c for c, u in zip(distinct, unsafe.tolist()) if not u]
+        words = self.split(" " + " ".join(regular)) if regular else []
+        first = np.flatnonzero(pc.starts_with(pa.array(words, pa.string()), " ").to_numpy(zero_copy_only=False))
+        units = np.zeros(len(distinct) + len(texts), dtype=np.int64)
+        units[: len(distinct)][~unsafe] = np.diff(np.append(first, len(words)))
+        for i, (w, c) in enumerate(zip(whole.tolist(), code[starts].tolist()), len(distinct)):
+            own = self.split(texts[i - len(distinct)].as_py() if w else distinct[c])
+            units[i] = len(own)
+            words += own
+        code[starts] = len(distinct) + np.arange(len(starts))
+        keep = np.repeat(~whole, sizes)
+        keep[starts] = True
+        order, ends = pa.array(code[keep]), np.cumsum(np.append(0, np.where(whole, 1, sizes)))
+        bounds = np.cumsum(np.append(0, units))
+        return [_joined(ends, _joined(bounds, x, by).take(order), by) for x, by in zip(self._word_arrays(words), (b",", b""))]
+
+
+def _joined(offsets, values, between: bytes):
+    """The runs of ``values`` between neighbouring offsets, each as one value."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    def _joined(self, words: list[str]) -> tuple[bytes, bytes]:
-        """Decimal ids joined by commas, and the decoded bytes."""
-        got = [self.words[w] for w in words]
-        return b",".join([g[0] for g in got]), b"".join([g[1] for g in got])
-
-    def documents(self, texts: list[str]):
-        """For each text its ids as decimals joined by commas, and the bytes that the ids decode to."""
-        for text, parts in zip(texts, self.prepare(texts)):
-            if not text:
-                yield b"", b""
-                continue
-            try:
-                ids, decoded = zip(*parts)
-                yield b",".join(ids), b"".join(decoded)
-            except TypeError:  # a cut that isn't safe
-                words = self.split(text)
-                self.encode_words([w for w in set(words) if w not in self.words])
-                yield self._joined(words)
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), values), pa.scalar(between, pa.large_binary()))
 
 
 def encoder(ranks: str) -> SqlBpe:
     return worker_cache(("sql-bpe", ranks), lambda: SqlBpe(tokenizer_path(ranks)))
 
 
-def _each(docs: DataFrame, ranks: str, schema: str, make, group: int = 2048) -> DataFrame:
+def _groups(column, most: int = 3 << 20, rows: int = 4096):
+    """Row ranges with at most so many bytes of text (or one row)."""
+    import pyarrow.compute as pc
+
+    lo = total = 0
+    for i, n in enumerate(pc.binary_length(column).to_pylist()):
+        if i > lo and (total + n > most or i - lo >= rows):
+            yield lo, i
+            lo, total = i, 0
+        total += n
+    if len(column):
+        yield lo, len(column)
+
+
+def _strings(column):
+    """A column of UTF-8 bytes as strings; what is no UTF-8 is replaced."""
+    import pyarrow as pa
+
+    try:
+        return column.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in column.to_pylist()], pa.string())
+
+
+def _each(docs: DataFrame, ranks: str, schema: str, make) -> DataFrame:
     import pyarrow as pa
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -195,23 +233,36 @@ def _each(docs: DataFrame, ranks: str, schema: str, make, group: int = 2048) ->
     def run(batches):
         e = encoder(ranks)
         for whole in batches:
-            for at in range(0, whole.num_rows, group):
-                b = whole.slice(at, group)
-                texts = [bytes(x).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
-                columns = make(list(e.documents(texts)))
+            for lo, hi in _groups(whole.column(1)):
+                b = whole.slice(lo, hi - lo)
+                columns = make(*e.documents(_strings(b.column(1))))
                 yield pa.RecordBatch.from_arrays([b.column(0), *columns.values()], names=["doc_id", *columns])
+                del columns
+                pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", text_bytes().alias("t")).mapInArrow(run, f"doc_id {kind}, {schema}")
 
 
+def _counts(ids):
+    """How many ids each row of decimals joined by commas has."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return pc.add(pc.count_substring(ids, ","), pc.greater(pc.binary_length(ids), 0).cast(pa.int64())).cast(pa.int64())
+
+
 def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """(doc_id, ids array<int>, n_tokens, decoded string): the decoded text is the ids' bytes put together again."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    def make(rows):
-        ids = [np.array(r[0].split(b",") if r[0] else [], dtype="S8").astype(np.int32) for r in rows]
-        return {"ids": pa.array(ids, pa.list_(pa.int32())), "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "decoded": pa.array([r[1].decode("utf-8", "replace") for r in rows], pa.string())}
+    def make(ids, decoded):
+        n = _counts(ids)
+        some = ids.filter(pc.greater(n, 0)).cast(pa.large_string())
+        values = pc.split_pattern(some, ",").flatten().cast(pa.int32())
+        offsets = np.cumsum(np.append(0, n.to_numpy())).astype(np.int32)
+        return {"ids": pa.ListArray.from_arrays(pa.array(offsets), values), "n_tokens": n, "decoded": decoded.cast(pa.large_string()).cast(pa.string())}
 
     return _each(docs, ranks, "ids array<int>, n_tokens long, decoded string", make)
 
@@ -221,12 +272,9 @@ def digests(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     import pyarrow as pa
     from hashlib import sha256
 
-    def make(rows):
-        return {
-            "n_tokens": pa.array([r[0].count(b",") + bool(r[0]) for r in rows], pa.int64()),
-            "ids_sha256": pa.array([sha256(r[0]).hexdigest() for r in rows], pa.string()),
-            "decoded_sha256": pa.array([sha256(r[1]).hexdigest() for r in rows], pa.string()),
-        }
+    def make(ids, decoded):
+        hashes = [pa.array([sha256(x).hexdigest() for x in column.to_pylist()], pa.string()) for column in (ids, decoded)]
+        return {"n_tokens": _counts(ids), "ids_sha256": hashes[0], "decoded_sha256": hashes[1]}
 
     return _each(docs, ranks, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
 

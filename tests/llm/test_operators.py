@@ -129,6 +129,29 @@ def test_bpe(docs, texts):
         assert got[i].ids == enc.encode_ordinary(t or "") and got[i].decoded == (t or "")
 
 
+def test_bpe_cuts():
+    """Every kind of cut, in groups of any size, with a memo that is far too small and never holds long words."""
+    import public_tokenizers
+    import pyarrow as pa
+    import tiktoken
+
+    rnd = random.Random(6)
+    pieces = ["a", "Ab'll", " ", "  ", "\n", "\t", "\u00a0", "\x1f", "\x85", "é", "字", "🙂", "'s", "7", "x.y", "…", "", "zz " * 9, "q" * 60, "x'"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 30))) for _ in range(1500)] + ["", " ", "  ", "a", " a", "a ", "w" * 300]
+    texts += [" ".join(f"w{rnd.randrange(10**6):x}" for _ in range(40)) for _ in range(200)]
+    path = tokenizer_path(bpe_sql.RANKS)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe_sql.read_ranks(path), special_tokens={})
+    own, column = bpe_sql.SqlBpe(path, limit=1000, batch=700), pa.array(texts, pa.string())
+    for most in (1, 5_000, 1 << 20):
+        got, held = [], []
+        for lo, hi in bpe_sql._groups(column.cast(pa.binary()), most):
+            got += zip(*(x.to_pylist() for x in own.documents(column.slice(lo, hi - lo))))
+            held.append(len(own.words.young) + len(own.words.old))
+            assert all(len(w) <= bpe_sql.LONG for w in own.words.young)
+        assert got == [(",".join(map(str, enc.encode_ordinary(t))).encode(), t.encode()) for t in texts]
+        assert most > 5_000 or max(held) < 4000  # one group's words beyond the limit
+
+
 def test_shards(spark, docs):
     for shards, bin_rows in ((16, 100_000), (3, 4)):
         got = sharding.hypergeometric_shards(spark, docs, shards, rows_per_bin=bin_rows).collect()
