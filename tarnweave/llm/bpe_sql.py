@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import irregular, merge, splitter
-from .common import table, text_bytes, tokenizer_path, worker_cache
+from .common import Aged, byte_groups, joined, strings, table, text_bytes, tokenizer_path, worker_cache
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG = 48
@@ -48,28 +48,6 @@ SELECT s.w, t.digits, t.bytes FROM step s JOIN tokens t ON t.id = s.tok WHERE s.
 """
 
 
-class Aged:
-    """A memo of two generations: a full young one becomes the old one, and what is used again moves back."""
-
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit // 2, {}, {}
-
-    def age(self) -> None:
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
-
-    def missing(self, keys) -> list:
-        """The keys without a value; the others are in the young generation afterwards."""
-        young, old, out = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                if k in old:
-                    young[k] = old.pop(k)
-                else:
-                    out.append(k)
-        return out
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(t): int(n) for t, n in map(bytes.split, f)}
@@ -140,7 +118,7 @@ class SqlBpe:
             )
             got = self.con.sql(ENCODE).to_arrow_table().combine_chunks()
             starts = np.searchsorted(got.column(0).to_numpy(), np.arange(len(part) + 1))
-            ids, decoded = (_joined(starts, got.column(k).cast(pa.large_binary()).combine_chunks(), between) for k, between in ((1, b","), (2, b"")))
+            ids, decoded = (joined(starts, got.column(k).cast(pa.large_binary()).combine_chunks(), between) for k, between in ((1, b","), (2, b"")))
             known.update(zip([w for w, _ in part], zip(ids.to_pylist(), decoded.to_pylist())))
 
     def _word_arrays(self, words: list[str]):
@@ -150,11 +128,11 @@ class SqlBpe:
         numbered = pa.array(words, pa.string()).dictionary_encode()
         distinct = numbered.dictionary.to_pylist()
         self.words.age()
-        self.encode_words(self.words.missing(distinct))
+        new = self.words.missing(distinct)
+        self.encode_words(new)
         got = [*map(self.words.young.__getitem__, distinct)]
-        for w in distinct:
-            if len(w) > LONG:  # the memo counts words, so long ones don't stay
-                del self.words.young[w]
+        for w in [w for w in new if len(w) > LONG]:  # the memo counts words, so long ones don't stay
+            del self.words.young[w]
         return [pa.array([g[k] for g in got], pa.large_binary()).take(numbered.indices) for k in (0, 1)]
 
     def documents(self, texts):
@@ -186,45 +164,13 @@ class SqlBpe:
         keep[starts] = True
         order, ends = pa.array(code[keep]), np.cumsum(np.append(0, np.where(whole, 1, sizes)))
         bounds = np.cumsum(np.append(0, units))
-        return [_joined(ends, _joined(bounds, x, by).take(order), by) for x, by in zip(self._word_arrays(words), (b",", b""))]
-
-
-def _joined(offsets, values, between: bytes):
-    """The runs of ``values`` between neighbouring offsets, each as one value."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), values), pa.scalar(between, pa.large_binary()))
+        return [joined(ends, joined(bounds, x, by).take(order), by) for x, by in zip(self._word_arrays(words), (b",", b""))]
 
 
 def encoder(ranks: str) -> SqlBpe:
     return worker_cache(("sql-bpe", ranks), lambda: SqlBpe(tokenizer_path(ranks)))
 
 
-def _groups(column, most: int = 3 << 20, rows: int = 4096):
-    """Row ranges with at most so many bytes of text (or one row)."""
-    import pyarrow.compute as pc
-
-    lo = total = 0
-    for i, n in enumerate(pc.binary_length(column).to_pylist()):
-        if i > lo and (total + n > most or i - lo >= rows):
-            yield lo, i
-            lo, total = i, 0
-        total += n
-    if len(column):
-        yield lo, len(column)
-
-
-def _strings(column):
-    """A column of UTF-8 bytes as strings; what is no UTF-8 is replaced."""
-    import pyarrow as pa
-
-    try:
-        return column.cast(pa.string())
-    except pa.ArrowInvalid:
-        return pa.array([x.decode("utf-8", "replace") for x in column.to_pylist()], pa.string())
-
-
 def _each(docs: DataFrame, ranks: str, schema: str, make) -> DataFrame:
     import pyarrow as pa
 
@@ -233,9 +179,9 @@ def _each(docs: DataFrame, ranks: str, schema: str, make) -> DataFrame:
     def run(batches):
         e = encoder(ranks)
         for whole in batches:
-            for lo, hi in _groups(whole.column(1)):
+            for lo, hi in byte_groups(whole.column(1)):
                 b = whole.slice(lo, hi - lo)
-                columns = make(*e.documents(_strings(b.column(1))))
+                columns = make(*e.documents(strings(b.column(1))))
                 yield pa.RecordBatch.from_arrays([b.column(0), *columns.values()], names=["doc_id", *columns])
                 del columns
                 pa.default_memory_pool().release_unused()

@@ -31,84 +31,95 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import release_shuffles, scratch, table, text_bytes, tokenizer_path, worker_cache, write_once
+from .common import Aged, byte_groups, joined, release_shuffles, scratch, strings, table, text_bytes, tokenizer_path, worker_cache, write_once
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
+LONG = 48
 _INDEX = "file int, seq long, doc_id long, offset long, length long, n_tokens long"
 
 
 #: Chunks of these characters are already in composed form, and this is how the vocabulary splits them once lower-cased.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+").findall
+_PLAIN = r"\A[!-~À-ÖØ-öø-ÿ]+\z"
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+|\n").findall
 
 
 class ChunkEncoder:
     """Token ids of whole texts; texts are cut at spaces, which this vocabulary's split drops anyway.
 
-    New chunks of common characters are split into words, and new words go to the library's merge model.
-    Other chunks go through the whole library as they are.
+    Chunks and words of a batch are numbered by their distinct values as whole arrays.  Chunks of common
+    characters are split into words, and new words go to the library's merge model.  Other chunks go
+    through the whole library as they are.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.known: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-        self.limit = limit
+        self.words, self.others = Aged(limit), Aged(limit // 4)
         vocabulary = self.tok.get_vocab()
         self.wide = max(vocabulary.values()) > 0xFFFF
         self.spelling = {b: c for c, b in byte_alphabet().items()}
         self.plain = json.loads(self.tok.to_str())["model"].get("end_of_word_suffix") == "</w>"
 
-    def learn(self, new: list[str]) -> None:
-        import numpy as np
+    def _values(self, memo: Aged, keys, learn):
+        """The ids of each of the keys, an Arrow column, as bytes."""
+        import pyarrow as pa
 
-        kind, code = ("<u4", "I") if self.wide else ("<u2", "H")
-        split, other, asks = [], [], set()
-        words, known = self.words, self.known
-        for c in new:
-            if self.plain and _PLAIN(c) and "<|" not in c:
-                w = _WORDS(c.lower())
-                split.append((c, w))
-                asks.update(w)
-            else:
-                other.append(c)
-        tokenize, spelling = self.tok.model.tokenize, self.spelling
-        for w in asks:
-            if w not in words:
-                spelt = w if w.isascii() else w.encode().decode("latin-1").translate(spelling)
-                words[w] = array(code, [t.id for t in tokenize(spelt)]).tobytes()
-        for c, w in split:
-            known[c] = words[w[0]] if len(w) == 1 else b"".join([words[x] for x in w])
-        for at in range(0, len(other), 20_000):
-            part = other[at : at + 20_000]
-            for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                known[c] = np.array(e.ids, dtype=kind).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.known = {"": b""}
-        if len(self.words) > self.limit // 2:
-            self.words = {}
-        known, out, asks, new = self.known, [], [], set()
-        for t in texts:
-            parts = t.split(" ")
-            try:
-                out.append(b"".join([known[c] for c in parts]))
-            except KeyError:
-                asks.append((len(out), parts))
-                out.append(b"")
-                new.update(parts)
-        if asks:
-            self.learn([c for c in new if c not in known])
-            for i, parts in asks:
-                out[i] = b"".join([known[c] for c in parts])
+        numbered = keys.dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        memo.age()
+        new = memo.missing(distinct)
+        learn(new)
+        out = pa.array([*map(memo.young.__getitem__, distinct)], pa.large_binary()).take(numbered.indices)
+        for k in [k for k in new if len(k) > LONG]:  # the memo counts keys, so long ones don't stay
+            del memo.young[k]
         return out
 
+    def _learn_words(self, new: list[str]) -> None:
+        code, tokenize, spelling, known = "I" if self.wide else "H", self.tok.model.tokenize, self.spelling, self.words.young
+        for w in new:
+            spelt = w if w.isascii() else w.encode().decode("latin-1").translate(spelling)
+            known[w] = array(code, [t.id for t in tokenize(spelt)]).tobytes()
+
+    def _learn_others(self, new: list[str]) -> None:
+        code, known = "I" if self.wide else "H", self.others.young
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
+                known[c] = array(code, e.ids).tobytes()
+
+    def encode(self, texts) -> list[bytes]:
+        """The ids of each text of an Arrow column of strings, as bytes."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        parts = pc.split_pattern(texts, " ")
+        numbered = parts.flatten().dictionary_encode()
+        chunks = numbered.dictionary
+        plain = pc.and_(pc.match_substring_regex(chunks, _PLAIN), pc.invert(pc.match_substring(chunks, "<|")))
+        if not self.plain:
+            plain = pc.and_(plain, pa.scalar(False))
+        # All plain chunks are split in one go, with a line feed, which none of them holds, after each.
+        words = pa.array(_WORDS("\n".join([*chunks.filter(plain).to_pylist(), ""]).lower()), pa.string())
+        feed = pc.equal(words, "\n").to_numpy(zero_copy_only=False)
+        ends = np.flatnonzero(feed)
+        ends -= np.arange(len(ends))
+        words = words.filter(pa.array(~feed))
+        values = pa.concat_arrays(
+            [
+                joined(np.append(0, ends), self._values(self.words, words, self._learn_words), b""),
+                self._values(self.others, chunks.filter(pc.invert(plain)), self._learn_others),
+            ]
+        )
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        place = np.where(is_plain, np.cumsum(is_plain) - 1, is_plain.sum() + np.cumsum(~is_plain) - 1)
+        order = pa.array(place[numbered.indices.to_numpy()])
+        return joined(np.cumsum(np.append(0, pc.list_value_length(parts).to_numpy(zero_copy_only=False))), values.take(order), b"").to_pylist()
+
 
 def masked(data: bytes) -> int:
     c = zlib.crc32(data)
@@ -169,11 +180,9 @@ def write_records(spark: SparkSession, docs: DataFrame, folder: str, vocabulary:
                 if out is None:
                     out = store.open_output_stream(own, buffer_size=1 << 20)
                 index = []
-                for at in range(0, b.num_rows, 2048):
-                    part = b.slice(at, 2048)
-                    ids = part.column(0).to_pylist()
-                    texts = [bytes(x).decode("utf-8", "replace") for x in part.column(1).to_pylist()]
-                    for d, e in zip(ids, encoder.encode(texts)):
+                for lo, hi in byte_groups(b.column(1), 8 << 20):
+                    part = b.slice(lo, hi - lo)
+                    for d, e in zip(part.column(0).to_pylist(), encoder.encode(strings(part.column(1)))):
                         r = frame(d, e + final, encoder.wide)
                         out.write(r)
                         index.append((n, seq, d, offset, len(r), len(e) // len(final) + 1))

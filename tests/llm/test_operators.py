@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnweave.llm import bpe_sql, decontamination, near_dedup, quality_rules, sharding, substring_dedup, token_counts, token_records, toxicity, warc_audit
-from tarnweave.llm.common import scratch, tokenizer_path
+from tarnweave.llm.common import byte_groups, scratch, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, n long"
 
@@ -54,6 +54,29 @@ def test_records_round_trip(spark, docs, texts):
         token_records.read_record(BytesIO(bytes(frame)))
 
 
+def test_record_chunks():
+    """Every kind of chunk, in groups of any size, with memos that are far too small and never hold long words."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(8)
+    pieces = ["a", "Ab'll", " ", "  ", "\n", "\t", "\u00a0", "é", "É", "ÿß", "×÷", "e\u0301", "字", "🙂", "'S", "7", "x.y", "…", "<|", "<|endoftext|>", "</w>", "q" * 60, "Σς", "ſ", "12"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 30))) for _ in range(1500)] + ["", " ", "  ", "a", " a", "a ", "w" * 300]
+    texts += [" ".join(f"w{rnd.randrange(10**6):x}" for _ in range(40)) for _ in range(200)]
+    path = tokenizer_path(token_records.VOCABULARY)
+    tok = Tokenizer.from_file(path)
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() for t in texts]
+    own, column = token_records.ChunkEncoder(path, limit=1000), pa.array(texts, pa.string())
+    for most in (1, 5_000, 1 << 20):
+        got, held = [], []
+        for lo, hi in byte_groups(column.cast(pa.binary()), most):
+            got += own.encode(column.slice(lo, hi - lo))
+            held.append(len(own.words.young) + len(own.words.old))
+            assert all(len(w) <= token_records.LONG for m in (own.words, own.others) for w in m.young)
+        assert got == want
+        assert most > 5_000 or max(held) < 4000  # one group's words beyond the limit
+
+
 def test_audit_finds_damage(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i % 5}", "<p>" * i) for i in range(300)] + [(None, None, None)] * 2, "page_id long, url string, html string")
     hurt = pages.withColumn("html", F.when(F.col("page_id").isin(5, 77), F.lit("bad")).otherwise(F.col("html")))
@@ -144,7 +167,7 @@ def test_bpe_cuts():
     own, column = bpe_sql.SqlBpe(path, limit=1000, batch=700), pa.array(texts, pa.string())
     for most in (1, 5_000, 1 << 20):
         got, held = [], []
-        for lo, hi in bpe_sql._groups(column.cast(pa.binary()), most):
+        for lo, hi in byte_groups(column.cast(pa.binary()), most):
             got += zip(*(x.to_pylist() for x in own.documents(column.slice(lo, hi - lo))))
             held.append(len(own.words.young) + len(own.words.old))
             assert all(len(w) <= bpe_sql.LONG for w in own.words.young)
