@@ -4,8 +4,9 @@ A byte is removed if it is covered by a string of SPAN bytes that also starts in
 id; strings are judged on the input and never cross documents.
 
 1. Every window of SPAN bytes holds an anchor, the run of GRAM bytes of least hash in it, which depends
-   on the window's content alone.  Anchors are dealt by hash; those that occur in one document only are
-   done with.
+   on the window's content alone, and at least HALF bytes on the left or on the right of it.  Anchors are
+   dealt by hash; those that no other document has with the same HALF bytes on one side are done with
+   (short anchors alone meet by chance, the more often the more documents there are).
 2. Documents get back which of their anchors are shared, and send the bytes around them (every window
    that holds the anchor) to the anchor's shard.  Equal surroundings are settled at once: all but those
    of the smallest document are covered.
@@ -29,10 +30,11 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table, text_bytes, worker_cache, wrapped
+from .common import materialize, slices, table, text_bytes, uncollected, worker_cache, wrapped
 
 SPAN, GRAM = 50, 25
 REACH = SPAN - GRAM  # bytes on either side of an anchor that a window may hold
+HALF = (REACH + 1) // 2  # of these it holds so many on one side at least
 SORT_BYTES = 2 << 20
 _P = 0x9E3779B97F4A7C15
 _PACKED = "bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
@@ -49,32 +51,58 @@ def _sliding(x, width: int, pick):
     return pick(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(texts: list[bytes]):
-    """(text number, place, hash) of every anchor: in each window the grams of least hash, all ties."""
+def _rolling(buf, *widths: int) -> list:
+    """64-bit hashes of every run of so many bytes, by doubling; one array for each width."""
     import numpy as np
 
-    buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    none = np.zeros(0, dtype=np.int64)
-    if len(buf) < SPAN:
-        return none, none, np.zeros(0, dtype=np.uint64)
     block, size, p = buf.astype(np.uint64) + np.uint64(1), 1, _P
-    acc, taken, n = None, 0, GRAM
+    out, taken, n = [None] * len(widths), [0] * len(widths), max(widths)
     while n:
-        if n & 1:
-            if acc is None:
-                acc, taken = block, size
-            else:
-                m = len(buf) - taken - size + 1
-                acc = acc[:m] * np.uint64(p) + block[taken : taken + m]
-                taken += size
+        for k, w in enumerate(widths):
+            if w & size:
+                if out[k] is None:
+                    out[k], taken[k] = block, size
+                else:
+                    m = len(buf) - taken[k] - size + 1
+                    out[k] = out[k][:m] * np.uint64(p) + block[taken[k] : taken[k] + m]
+                    taken[k] += size
         n >>= 1
         if n:
             block = block[:-size] * np.uint64(p) + block[size:]
             p, size = p * p & (1 << 64) - 1, size * 2
-    h = acc ^ (acc >> np.uint64(32))
+    return out
+
+
+def _mix(h):
+    import numpy as np
+
+    h = h ^ (h >> np.uint64(32))
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
+    return h
+
+
+def _side(rolled, at, ok):
+    """16 bits of the HALF bytes at each place, and 0 where there are none."""
+    import numpy as np
+
+    return np.where(ok, _mix(rolled[np.where(ok, at, 0)]) % np.uint64(0xFFFF) + np.uint64(1), np.uint64(0))
+
+
+def anchors(texts: list[bytes]):
+    """(text number, place, hash, key) of every anchor: in each window the grams of least hash, all ties.
+
+    A key has 32 bits of the gram and 16 of the bytes on each side of it.
+    """
+    import numpy as np
+
+    buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    none = np.zeros(0, dtype=np.int64)
+    if len(buf) < SPAN:
+        return none, none, none.view(np.uint64), none.view(np.uint64)
+    h, half = _rolling(buf, GRAM, HALF)
+    h = _mix(h)
     order = (h >> np.uint64(32)).astype(np.uint32)  # half a hash decides, which is four times as fast to compare
     least = _sliding(order, REACH + 1, np.minimum)
     # A gram is chosen if it is the least of some window around it.
@@ -84,7 +112,10 @@ def anchors(texts: list[bytes]):
     doc = np.searchsorted(ends, at, side="right")
     ok = (at + GRAM <= ends[doc]) & (sizes[doc] >= SPAN)
     at, doc = at[ok], doc[ok]
-    return doc, at - (ends - sizes)[doc], h[at]
+    place, h = at - (ends - sizes)[doc], h[at]
+    left = _side(half, at - HALF, place >= HALF)
+    right = _side(half, at + GRAM, at + GRAM + HALF <= ends[doc])
+    return doc, place, h, h << np.uint64(32) | left << np.uint64(16) | right
 
 
 def _groups(batch, most: int = 1 << 19):
@@ -189,7 +220,7 @@ def _anchor_batches(n_buckets: int):
             texts = [bytes(x) for x in b.column(2).to_pylist()]
             docs, hashes = [], []
             for lo, hi in _groups(texts):
-                d, _, h = anchors(texts[lo:hi])
+                d, _, _, h = anchors(texts[lo:hi])
                 docs.append(d.astype(np.int32) + lo)
                 hashes.append(h)
             d, h = np.concatenate(docs), np.concatenate(hashes)
@@ -208,7 +239,7 @@ def _anchor_batches(n_buckets: int):
             same_id = ~shared  # rows of one id speak each for themselves
             ask |= same_id
             d, h = d[ask], h[ask]
-            bucket = (h % np.uint64(n_buckets)).astype(np.int64)
+            bucket = ((h >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)  # by the gram alone
             order = np.lexsort((d, bucket))
             d, h, bucket = d[order], h[order], bucket[order]
             starts = _runs(bucket)
@@ -220,8 +251,17 @@ def _anchor_batches(n_buckets: int):
     return run
 
 
+def _mixed(values, ids):
+    """Whether each of the sorted values stands beside more than one id."""
+    import numpy as np
+
+    starts = _runs(values)
+    sizes = np.diff(np.append(starts, len(values)))
+    return np.repeat(ids[starts] != ids[starts + sizes - 1], sizes)
+
+
 def _answer(n_buckets: int):
-    """Which entries of a bucket have a hash that other documents have too, packed by document."""
+    """Which entries of a bucket have a gram and one side of it that other documents have too, packed by document."""
 
     def run(batches):
         import numpy as np
@@ -240,11 +280,16 @@ def _answer(n_buckets: int):
         if hashes:
             h, i, k = np.concatenate(hashes), np.concatenate(ids), np.concatenate(keys)
             del hashes, ids, keys
-            order = np.lexsort((i, h))
+            order = np.lexsort((i, h >> np.uint64(32)))
             h, i, k = h[order], i[order], k[order]
-            starts = _runs(h)
-            sizes = np.diff(np.append(starts, len(h)))
-            shared = np.repeat(i[starts] != i[starts + sizes - 1], sizes)
+            met = _mixed(h >> np.uint64(32), i)
+            h, i, k = h[met], i[met], k[met]
+            shared = np.zeros(len(h), dtype=bool)
+            low = np.uint64(0xFFFF)
+            for side, rest in ((h >> np.uint64(16) & low, h >> np.uint64(16)), (h & low, h >> np.uint64(32) << np.uint64(16) | h & low)):
+                order = np.lexsort((i, rest))
+                order = order[side[order] > 0]
+                shared[order[_mixed(rest[order], i[order])]] = True
             for held, x in zip(known, (i[shared], k[shared], h[shared])):
                 held.append(x)
         if known[0]:
@@ -266,32 +311,32 @@ def _surroundings(n_buckets: int):
             ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
             texts = [bytes(x) for x in b.column(2).to_pylist()]
             known = [np.unique(np.frombuffer(x, np.uint64)) for x in b.column(3).to_pylist()]
+            numbers = ids.tolist()
             best: dict[tuple, tuple] = {}
             covered, sent = [], []
             for lo, hi in _groups(texts):
-                doc, at, h = anchors(texts[lo:hi])
+                doc, at, h, v = anchors(texts[lo:hi])
                 cuts = np.searchsorted(doc, np.arange(hi - lo + 1))
-                for i in range(hi - lo):
-                    a, z = cuts[i], cuts[i + 1]
+                for i, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
                     own = known[lo + i]
                     if a == z or not len(own):
                         continue
-                    slot = np.minimum(np.searchsorted(own, h[a:z]), len(own) - 1)
-                    hit = own[slot] == h[a:z]
-                    t, n = texts[lo + i], lo + i
+                    slot = np.minimum(np.searchsorted(own, v[a:z]), len(own) - 1)
+                    hit = own[slot] == v[a:z]
+                    t, n, d = texts[lo + i], lo + i, numbers[lo + i]
                     for p, x in zip(at[a:z][hit].tolist(), h[a:z][hit].tolist()):
                         s = p - REACH if p > REACH else 0
                         key = (x, p - s, t[s : p + SPAN])
-                        got = best.get(key)
-                        if got is None:
-                            best[key] = (ids[n], [(n, s)])
-                        elif ids[n] == got[0]:
+                        got = best.setdefault(key, d)
+                        if type(got) is int:  # this one's own id: the first of its kind
+                            best[key] = (d, [(n, s)])
+                        elif d == got[0]:
                             got[1].append((n, s))
-                        elif ids[n] > got[0]:
+                        elif d > got[0]:
                             covered.append((n, s, s + len(key[2])))
                         else:
                             covered += [(m, q, q + len(key[2])) for m, q in got[1]]
-                            best[key] = (ids[n], [(n, s)])
+                            best[key] = (d, [(n, s)])
             out = []
             if covered:
                 n, s, e = (np.array(x) for x in zip(*covered))
@@ -308,22 +353,54 @@ def _surroundings(n_buckets: int):
                 out.append((bucket, _ASK, np.array(x, dtype=np.uint64).tobytes(), owner.tobytes(), spot.tobytes(), shape.tobytes(), zlib.compress(b"".join(ctx), 1)))
             yield _rows(out)
 
-    return run
+    return uncollected(run)
+
+
+def _met_windows(s, ends, who):
+    """For each of the texts that end at ``ends`` in ``s`` the first and last window whose hash texts of another id have; -1 for none."""
+    import numpy as np
+
+    first, last = np.full(len(ends), -1), np.full(len(ends), -1)
+    if len(s) < SPAN:
+        return first, last
+    at = np.arange(len(s) - SPAN + 1)
+    owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[: len(at)]
+    inside = at + SPAN <= ends[owner]
+    at, owner, h = at[inside], owner[inside], _rolling(s, SPAN)[0][inside]
+    order = np.argsort(h, kind="stable")
+    h, ids = h[order], who[owner[order]]
+    starts = _runs(h)
+    if len(starts):
+        mixed = np.repeat(np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts), np.diff(np.append(starts, len(h))))
+        hit = np.sort(order[mixed])
+        new = _runs(owner[hit])
+        first[owner[hit[new]]] = at[hit[new]]
+        stop = np.append(new[1:], len(hit)) - 1 if len(new) else new
+        last[owner[hit[stop]]] = at[hit[stop]]
+    return first, last
 
 
 def _covered_windows(groups: list[list[tuple[int, bytes]]]):
-    """(group, member, offset) of windows that a member of smaller id in any group has as well.
+    """(group, member, start, end) of runs of windows that a member of smaller id in any group has as well.
 
-    ``groups`` holds (id, surroundings) pairs; all are sorted in one suffix array.
+    ``groups`` holds (id, surroundings) pairs.  What lies between the first and the last window of equal
+    hash in each is sorted in one suffix array, which compares the bytes.
     """
     import numpy as np
 
     from .induced_sort import common_prefixes, suffix_array
 
+    np.seterr(over="ignore")
     flat = [(g, m, i, c) for g, members in enumerate(groups) for m, (i, c) in enumerate(members)]
-    s = np.frombuffer(b"".join(x[3] for x in flat), dtype=np.uint8)
     sizes = np.array([len(x[3]) for x in flat])
     ends = np.cumsum(sizes)
+    first, last = _met_windows(np.frombuffer(b"".join(x[3] for x in flat), dtype=np.uint8), ends, np.array([x[2] for x in flat]))
+    flat, lead, stop = zip(*[(x, a, z) for x, a, z in zip(flat, (first - ends + sizes).tolist(), (last - ends + sizes + SPAN).tolist()) if z >= SPAN]) if (first >= 0).any() else ((), (), ())
+    if not flat:
+        return []
+    s = np.frombuffer(b"".join(x[3][a:z] for x, a, z in zip(flat, lead, stop)), dtype=np.uint8)
+    sizes = np.array(stop) - np.array(lead)
+    ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(flat)), sizes)
     order = suffix_array(s, SPAN)
     order = order[order + SPAN <= ends[owner[order]]]
@@ -333,15 +410,19 @@ def _covered_windows(groups: list[list[tuple[int, bytes]]]):
         return []
     who = np.array([x[2] for x in flat])[owner[order]]
     least = np.minimum.reduceat(who, starts)
-    hit = who > np.repeat(least, np.diff(np.append(starts, len(order))))
-    at = order[hit]
-    begin = ends - sizes
-    return [(flat[o][0], flat[o][1], int(p - begin[o])) for p, o in zip(at.tolist(), owner[at].tolist())]
+    at = np.sort(order[who > np.repeat(least, np.diff(np.append(starts, len(order))))]).astype(np.int64)
+    if not len(at):
+        return []
+    o = owner[at]
+    new = np.append(True, (np.diff(at) > 1) | (o[1:] != o[:-1]))
+    o, at, to = o[new], at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] + SPAN
+    shift = np.array(lead)[o] - (ends - sizes)[o]
+    return [(flat[x][0], flat[x][1], p, q) for x, p, q in zip(o.tolist(), (at + shift).tolist(), (to + shift).tolist())]
 
 
 def _settle(n_buckets: int):
     """Covered intervals of one shard's surroundings, packed by document."""
-    return lambda batches: _settled(batches, n_buckets)
+    return uncollected(lambda batches: _settled(batches, n_buckets))
 
 
 def _settled(batches, n_buckets: int):
@@ -383,7 +464,7 @@ def _settled(batches, n_buckets: int):
     def worth_sorting(group):
         """A window around the anchor reaches past it by half of REACH on one side, so two surroundings that
         share a window agree on that much on the left or on the right."""
-        half = (REACH + 1) // 2
+        half = HALF
         left, right = {}, {}
         for w, c in group:
             if w >= half:
@@ -395,13 +476,13 @@ def _settled(batches, n_buckets: int):
     def sort(groups):
         members = [[(v[0], c) for (_, c), v in g.items()] for g in groups]
         places = [list(g.values()) for g in groups]
-        for g, m, offset in _covered_windows(members):
+        for g, m, a, z in _covered_windows(members):
             i, spots = places[g][m]
             for k, s in spots:
                 ids_.append(i)
                 keys_.append(k)
-                starts_.append(s + offset)
-                ends_.append(s + offset + SPAN)
+                starts_.append(s + a)
+                ends_.append(s + z)
 
     part, size = [], 0
     for group in found.values():

@@ -222,3 +222,25 @@ def test_repeats(docs, spark, texts):
         kept = bytes(c for p, c in enumerate(t) if p not in gone).decode("utf-8", "ignore")
         assert (got[i] or "") == kept
     assert got[None] == "no id at all" and hashlib.sha256(b"").hexdigest()[:4] == "e3b0" and zlib.crc32(b"") == 0
+
+
+def test_repeats_met_by_chance():
+    """Documents that share runs of 25 to 40 bytes at most ask for nothing; windows at every distance from an edge are found."""
+    rnd = random.Random(9)
+    line = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n)).encode()
+    passage, long = line(30), line(50)
+    rows = [(i, line(60) + passage + line(60)) for i in range(80)]
+    rows += [(100 + k, line(k) + long + line(60 - k)) for k in range(0, 61, 3)] + [(200, long), (201, long), (202, long[:49])]
+    import pyarrow as pa
+
+    def steps(rows):
+        names = ["doc_id", "text_key", "t"]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0]], pa.int64()), pa.array([r[0]], pa.int64()), pa.array([r[1]], pa.binary())], names=names) for r in rows]
+        packed = [b for x in batches for b in substring_dedup._anchor_batches(1)([x])]
+        return [b for b in substring_dedup._one_row_each(["shared"], ["u8"])(substring_dedup._answer(1)(packed))]
+
+    assert {i for b in steps(rows) for i in b.column(0).to_pylist()} == {i for i, _ in rows if 100 <= i < 202}
+    lone = substring_dedup._covered_windows([[(2, long + b"x"), (1, b"y" + long), (3, line(60)), (1, long)]])
+    assert lone == [(0, 0, 0, 50)]
+    two = line(70)
+    assert substring_dedup._covered_windows([[(1, two)], [(5, b"?" + two[:60]), (4, two[10:])]]) == [(1, 0, 1, 61), (1, 1, 0, 60)]
