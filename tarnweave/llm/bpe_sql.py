@@ -60,7 +60,7 @@ class SqlBpe:
     as whole arrays; Python sees only the distinct ones.
     """
 
-    def __init__(self, path: str, limit: int = 200_000, batch: int = 8_000):
+    def __init__(self, path: str, limit: int = 120_000, batch: int = 5_000):
         import duckdb
         import pyarrow as pa
 

@@ -35,7 +35,7 @@ from .common import materialize, slices, table, text_bytes, uncollected, worker_
 SPAN, GRAM = 50, 25
 REACH = SPAN - GRAM  # bytes on either side of an anchor that a window may hold
 HALF = (REACH + 1) // 2  # of these it holds so many on one side at least
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15
 _PACKED = "bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
 _DONE, _ASK = 0, 1
@@ -307,7 +307,7 @@ def _surroundings(n_buckets: int):
 
         np.seterr(over="ignore")
         worker_cache("repeats", dict)  # other operators' memos go
-        for b in slices(batches, 1 << 16):  # places within one batch take two bytes
+        for b in slices(batches, 1 << 12):  # a dictionary holds all surroundings of one
             ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
             texts = [bytes(x) for x in b.column(2).to_pylist()]
             known = [np.unique(np.frombuffer(x, np.uint64)) for x in b.column(3).to_pylist()]
