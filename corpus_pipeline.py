@@ -2,6 +2,9 @@
 
 A stage takes (spark, docs, sf_dir) and returns a frame; ``run`` writes each stage's rows to the shared
 folder and reads them back as the next one's input.  All but the last return the columns of documents.
+
+An executor's memory holds its heap and its Python workers.  Each stage therefore starts with ``_begin``: it
+bounds the batches that the session sends to workers, and what earlier steps held goes back to the machine.
 """
 
 from __future__ import annotations
@@ -10,16 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnweave.llm.bpe_sql import encode
-from tarnweave.llm.common import materialize, release_shuffles, table, wrapped
+from tarnweave.llm.common import materialize, release_shuffles, relieve, small_batches, table, wrapped
 from tarnweave.llm.decontamination import uncontaminated
 from tarnweave.llm.near_dedup import near_duplicates
 from tarnweave.llm.substring_dedup import remove_repeats
 from tarnweave.llm.toxicity import THRESHOLD, below, fit, training_sample
 
 SHINGLE_WORDS, SIMILARITY = 5, 80
+#: Bytes in a batch for a Python worker; repeats within one batch are sent once, so that stage takes larger ones.
+BATCH, REPEATS_BATCH = 2 << 20, 16 << 20
+
+
+def _begin(spark: SparkSession, batch: int = BATCH) -> None:
+    small_batches(spark, batch)
+    relieve(spark)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _begin(spark)
     model = fit(training_sample(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
     return below(docs, model, THRESHOLD)
 
@@ -29,6 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows without id are no document that could be linked; they all stay.
     """
+    _begin(spark)
     found = materialize(spark, near_duplicates(spark, docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILARITY), "near-verdicts")
     gone = found.where("not kept").select("doc_id").distinct()
     again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -42,16 +54,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, without the bytes that a document of smaller id already has."""
+    _begin(spark, REPEATS_BATCH)
     out = remove_repeats(spark, docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document that holds a window of any benchmark item goes."""
+    _begin(spark)
     return uncontaminated(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _begin(spark)
     return encode(docs).select("doc_id", "n_tokens", "ids")
 
 

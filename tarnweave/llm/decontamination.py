@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import Memo, latest, materialize, raw, slices, table, text_bytes, worker_cache, wrapped
+from .common import WORDS, Memo, byte_groups, latest, materialize, raw, slices, table, text_bytes, worker_cache, wrapped
 
 WINDOW, GRAM, SPAN = 8, 4, 5
 BLOCK_WINDOWS = 200_000
@@ -39,7 +39,7 @@ def words_of(text: bytes) -> list[bytes]:
 def word_hash():
     import xxhash
 
-    return worker_cache("word-hash", lambda: Memo(xxhash.xxh64_intdigest, 500_000))
+    return worker_cache("word-hash", lambda: Memo(xxhash.xxh64_intdigest, WORDS))
 
 
 def gram_hashes(h, n: int):
@@ -195,17 +195,19 @@ def _marked(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block_wi
 
         def run(batches):
             index = latest("benchmark-index", token, lambda: BenchmarkIndex(block.value))
-            for b in slices(batches, 2048):
-                found = index.hits(raw(text(b)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0),
-                        pa.array([x[0] for x in found], pa.int64()),
-                        pa.array([sorted(x[1]) for x in found], pa.list_(pa.int32())),
-                        pa.array([sorted(x[2]) for x in found], pa.list_(pa.string())),
-                    ],
-                    names=[name, "n_words", "hit", "items"],
-                )
+            for whole in batches:
+                for lo, hi in byte_groups(text(whole), 1 << 20):
+                    b = whole.slice(lo, hi - lo)
+                    found = index.hits(raw(text(b)))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            b.column(0),
+                            pa.array([x[0] for x in found], pa.int64()),
+                            pa.array([sorted(x[1]) for x in found], pa.list_(pa.int32())),
+                            pa.array([sorted(x[2]) for x in found], pa.list_(pa.string())),
+                        ],
+                        names=[name, "n_words", "hit", "items"],
+                    )
 
         return run
 

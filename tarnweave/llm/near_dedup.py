@@ -37,7 +37,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, drop_scratch, hot_limit, join_hot, materialize, release_shuffles, table, text_bytes, worker_cache
+from .common import WORDS, Memo, byte_groups, drop_scratch, hot_limit, join_hot, materialize, release_shuffles, relieve, table, text_bytes, worker_cache
 from .components import merged
 
 K, SHORT, ODDS = 48, 48, 1e-7
@@ -45,6 +45,8 @@ K, SHORT, ODDS = 48, 48, 1e-7
 BROADCAST_ROWS = 1_000_000
 #: A pivot's text is sent to so many tasks at most, each with its share of the partners.
 SPREAD = 64
+#: Bytes of text whose words a worker holds at once.
+TEXT_BYTES = 1 << 20
 BITS = [f"bits{i}" for i in range(4)]
 _P = 0x9E3779B97F4A7C15
 
@@ -67,7 +69,7 @@ def needed(size: int, percent: int) -> int:
 def _word_hash() -> Memo:
     import xxhash
 
-    return worker_cache("word-hash", lambda: Memo(xxhash.xxh64_intdigest, 500_000))
+    return worker_cache("word-hash", lambda: Memo(xxhash.xxh64_intdigest, WORDS))
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list:
@@ -118,8 +120,8 @@ def sketches(docs: DataFrame, width: int = 2) -> DataFrame:
 
         warnings.simplefilter("ignore", RuntimeWarning)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
+            for lo, hi in byte_groups(whole.column(2), TEXT_BYTES):
+                b = whole.slice(lo, hi - lo)
                 sets = shingle_sets([bytes(x) for x in b.column(2).to_pylist()], width)
                 bits = np.zeros((len(sets), 256), dtype=np.uint8)
                 for i, s in enumerate(sets):
@@ -218,8 +220,8 @@ def confirmed(pairs: DataFrame, few: bool, reps: DataFrame, docs: DataFrame, wid
         warnings.simplefilter("ignore", RuntimeWarning)
         at, mine = None, None
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                x = whole.slice(start, 512)
+            for lo, hi in byte_groups(whole.column(3), TEXT_BYTES):
+                x = whole.slice(lo, hi - lo)
                 sets = shingle_sets([bytes(t) for t in x.column(3).to_pylist()], width)
                 left, right = [], []
                 for a, b, s in zip(x.column(0).to_pylist(), x.column(2).to_pylist(), sets):
@@ -257,8 +259,8 @@ def _prefixes(spark: SparkSession, open_ids: DataFrame, reps: DataFrame, docs: D
 
         warnings.simplefilter("ignore", RuntimeWarning)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for lo, hi in byte_groups(whole.column(1), TEXT_BYTES):
+                b = whole.slice(lo, hi - lo)
                 sets = shingle_sets([bytes(x) for x in b.column(1).to_pylist()], width)
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "n", "whole"])
@@ -294,6 +296,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 2, percen
     reps = materialize(spark, classes(rows), "near-classes")
     entries = listed(spark, reps.where("n > 1").select("id", "n", "sketch", *BITS), percent)
     release_shuffles(spark)
+    relieve(spark)
 
     def linked(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
         """The components after the links among ``pairs``."""

@@ -6,12 +6,13 @@ from collections import Counter
 import brute
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tarnweave.llm import near_dedup, toxicity
-from tarnweave.llm.common import tokenizer_path
+from tarnweave.llm.common import byte_groups, tokenizer_path
 from tarnweave.llm.queries import ORACLE_SQL, QUERIES
 
 CLASHING = "row key t n_words hit items toxicity n starts ends text_key _raw _key set_key shard slot kept".split()
@@ -199,6 +200,25 @@ def expected(rows, model, benchmark, span=50):
     return [(i, t) for (i, t), found in zip(rows, brute.contamination([t for _, t in rows], benchmark)) if not found[2]]
 
 
+def test_stages_bound_what_workers_get(spark, odd):
+    """A batch is held by the executor and by its worker, beside the heap; stages let no batch grow to Spark's own 64 MB."""
+    sizes = lambda batches: (b.from_pydict({"bytes": [b.nbytes]}) for b in batches)
+    wide = spark.range(0, 400, 1, 1).select("id", F.repeat(F.lit("some words "), 6_000).alias("text"))  # 26 MB
+    docs = spark.read.parquet(f"{odd[0]}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs, odd[0])
+        most = wide.mapInArrow(sizes, "bytes long").agg(F.max("bytes")).first()[0]
+        allowed = corpus_pipeline.REPEATS_BATCH if name == "substring_dedup" else corpus_pipeline.BATCH
+        assert most <= allowed + 100_000, name
+
+
+def test_byte_groups():
+    texts = pa.array([None, "abc", "d" * 9, None, "", "ef", "g"])
+    assert [*byte_groups(texts, 4)] == [(0, 2), (2, 3), (3, 7)]
+    assert [*byte_groups(texts, 99, rows=3)] == [(0, 3), (3, 6), (6, 7)]
+
+
 @pytest.mark.parametrize("which", ["odd", "sf"])
 def test_pipeline(spark, odd, sf, which):
     folder = odd[0] if which == "odd" else sf
