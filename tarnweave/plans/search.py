@@ -53,16 +53,14 @@ def keep_order(hits: DataFrame) -> DataFrame:
 def search(queries: DataFrame, chunks: DataFrame, config: EngineConfig = EngineConfig(), rerank: Reranker = keep_order, vectors: tuple | None = None) -> DataFrame:
     """(query_id, language, context) for (query_id, text): sparse and, with ``vectors`` (query and chunk frames), dense retrieval, fused, reranked, packed."""
     docs = chunks.select(F.col("chunk_id").alias("id"), "content")
-    counts, stats = B.term_counts(docs), B.corpus(docs)
-    idf = B.idf(counts, stats, config.bm25_epsilon)
+    f = B.fit(docs, config)
     terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    wanted = counts.join(terms.select("term").distinct(), "term", "left_semi")
-    postings = B.weights(wanted, idf, stats, config)
+    postings = B.postings(docs, B.idf_of(f, terms), f, config)
     weight = F.col("idf")
     if config.server_idf:
-        n = F.lit(1.0) * F.col("n")
+        n = F.lit(float(f.n))
         weight = weight * F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    q = terms.join(idf.where("idf > 0"), "term").join(F.broadcast(stats), how="cross").select("query_id", "term", weight.alias("weight"))
+    q = f.terms.where("idf > 0").join(F.broadcast(terms), "term").select("query_id", "term", weight.alias("weight"))
     lists = [R.best_documents(q, postings, config.prefetch)]
     if vectors:
         from ..operators.vectors import nearest
@@ -70,7 +68,8 @@ def search(queries: DataFrame, chunks: DataFrame, config: EngineConfig = EngineC
         lists.append(nearest(*vectors, config.prefetch))
     hits = R.fuse(lists, config.candidates, config.rrf_k)
     title = F.coalesce("title", F.lit("")) if "title" in chunks.columns else F.lit("")
-    hits = hits.join(chunks.select(F.col("chunk_id").alias("id"), "content", "source_url", title.alias("title")), "id")
+    # A few hits for each query go to the chunks, so that no chunk's text is exchanged.
+    hits = chunks.select(F.col("chunk_id").alias("id"), "content", "source_url", title.alias("title")).join(F.broadcast(hits), "id")
     hits = R.keep_scores(rerank(hits).where(F.col("rank") <= config.rerank_top), config.min_rerank_score)
     packed = R.pack_context(hits, config.context_chars)
     return queries.select("query_id", L.of_query(F.col("text")).alias("language")).join(packed, "query_id", "left")
