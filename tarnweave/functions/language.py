@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 STRONG = sorted("agus atá bhí gaeilge iarrthóir múinteoir ní scrúdú teastas".split())
 WEAK = sorted("an ar do go le na".split())
@@ -30,17 +30,23 @@ _GREETINGS = (
 GREETING = r"(?i)^(?:" + "|".join(_GREETINGS) + r")[\s!.?,]*$"
 
 
-def _words(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.lower)
+#: The known words among a small-letter text's words, which are runs of letters, digits and underscores.
+_KNOWN = r"(?<![\p{L}\p{N}_])(?:" + "|".join(sorted({*STRONG, *WEAK, *ENGLISH})) + r")(?![\p{L}\p{N}_])"
 
 
-def signals(c: Column) -> dict[str, Column]:
-    w = _words(c)
-    among = lambda known: F.size(F.filter(w, lambda x: x.isin(known)))
-    return {
-        "chars": F.length(c) - F.length(F.translate(c, "áéíóúÁÉÍÓÚ", "")),
-        "strong": among(STRONG), "weak": among(WEAK), "english": among(ENGLISH),
-    }
+def signals(c: Column) -> Column:
+    """The text and its counts of accented letters, strong and weak Irish words and English words, as a struct."""
+    # The one letter whose small form has more than one character would break a word in two; no known word has it.
+    found = F.regexp_extract_all(F.lower(F.replace(c, F.lit("\u0130"), F.lit("\u00ef"))), F.lit(_KNOWN), F.lit(0))
+    among = lambda w, known: F.size(F.filter(w, lambda x: x.isin(known)))
+    counts = lambda w: F.struct(among(w, STRONG).alias("strong"), among(w, WEAK).alias("weak"), among(w, ENGLISH).alias("english"))
+    return F.struct(c.alias("t"), (F.length(c) - F.length(F.translate(c, "áéíóúÁÉÍÓÚ", ""))).alias("chars"), let(found, counts).alias("w"))
+
+
+def _counted(c: Column, body) -> Column:
+    """``body`` of the stripped text and its signals by name, all worked out once."""
+    named = lambda x: {"chars": x["chars"], **{k: x["w"][k] for k in ("strong", "weak", "english")}}
+    return let(strip(F.coalesce(c, F.lit(""))), lambda t: let(signals(t), lambda x: body(x["t"], named(x))))
 
 
 def of_url(u: Column) -> Column:
@@ -52,8 +58,10 @@ def of_url(u: Column) -> Column:
 
 def detect(c: Column, url: Column | None = None, en: Column | None = None, ga: Column | None = None) -> Column:
     """Language of a text; ``en`` and ``ga`` are a detector's probabilities where there is one."""
-    t = strip(F.coalesce(c, F.lit("")))
-    s = signals(t)
+    return _counted(c, lambda t, s: _detected(t, s, url, en, ga))
+
+
+def _detected(t: Column, s: dict[str, Column], url: Column | None, en: Column | None, ga: Column | None) -> Column:
     score = s["chars"] + 2 * (2 * s["strong"] + s["weak"])
     known = of_url(F.coalesce(url, F.lit(""))) if url is not None else F.lit("mixed")
     irish = ((s["chars"] >= 2) | (s["strong"] >= 1) | (s["weak"] >= 2)) & (score >= s["english"] + 1)
@@ -65,8 +73,10 @@ def detect(c: Column, url: Column | None = None, en: Column | None = None, ga: C
 
 
 def of_query(c: Column, en: Column | None = None, ga: Column | None = None) -> Column:
-    t = strip(F.coalesce(c, F.lit("")))
-    s = signals(t)
+    return _counted(c, lambda t, s: _asked(t, s, en, ga))
+
+
+def _asked(t: Column, s: dict[str, Column], en: Column | None, ga: Column | None) -> Column:
     out = F.when(t == "", "en").when((s["chars"] >= 1) | (s["strong"] >= 1), "ga")
     if en is not None:
         out = out.when(ga > en, "ga").when(en >= ga, "en")
