@@ -34,7 +34,7 @@ class Judge(Protocol):
 
 def hashed_embedding(text: Column) -> Column:
     """A bag of hashed tokens, counted in 64 dimensions (not scaled): the offline stand-in for an embedding service."""
-    slot = F.transform(T.tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(DIMS)).cast("int"))
+    slot = F.transform(F.regexp_extract_all(text, F.lit(T.TOKEN), F.lit(0)), lambda t: F.pmod(F.xxhash64(F.lower(t)), F.lit(DIMS)).cast("int"))
     among = lambda s, i: (F.size(s) - F.size(F.array_remove(s, i))).cast("double")
     # Eight dimensions look through their own eighth of the slots only.
     eighth = lambda s, g: T.let(F.filter(s, lambda x: F.shiftright(x, 3) == g), lambda own: F.transform(F.sequence(g * 8, g * 8 + 7), lambda i: among(own, i)))
